@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -216,3 +217,29 @@ def connected(edges: DataFrame) -> DataFrame:
             break
         before = after
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+KEYED_SCHEMA = "blk long, r int, keys binary, counts binary"
+
+
+def keyed_rows(blk: int, keys: np.ndarray, counts: np.ndarray | None, parts: int) -> pd.DataFrame:
+    """Rows of KEYED_SCHEMA for a block's ascending distinct keys."""
+    rows = [(blk, r, encode_keys(keys[s]), None if counts is None else encode_counts(counts[s])) for r, s in split_keys(keys, parts)]
+    return pd.DataFrame(rows, columns=["blk", "r", "keys", "counts"])
+
+
+def text_key(raw: bytes) -> int:
+    """What xxhash64() gives for the text, as a signed long."""
+    key = xxhash.xxh64_intdigest(raw, 42)
+    return key - (1 << 64) if key >> 63 else key
+
+
+def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit keys of all words of the texts, one text after another, and how many each text has.
+
+    bytes.split() cuts at exactly the six ASCII space characters.
+    """
+    words = [t.split() for t in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    flat = (w for text in words for w in text)
+    return np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, int(sizes.sum())), sizes

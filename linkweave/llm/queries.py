@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+from .decontamination import op8_decontamination
+from .html_extraction import op9_html_extraction
+from .lm_scoring import op4_lm_scoring
 from .simhash import op6_simhash_dedup
+from .substring_dedup import op10_substring_dedup
+from .toxicity import op5_toxicity
 from .url_filters import OP3_SQL, op3_url_filters
 
 QUERIES = {
     "op3_url_filters": op3_url_filters,
+    "op4_lm_scoring": op4_lm_scoring,
+    "op5_toxicity": op5_toxicity,
     "op6_simhash_dedup": op6_simhash_dedup,
+    "op8_decontamination": op8_decontamination,
+    "op9_html_extraction": op9_html_extraction,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL = {"op3_url_filters": OP3_SQL}

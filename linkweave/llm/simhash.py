@@ -109,11 +109,10 @@ def _finer_keys(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     continue
                 c = _segment(x[rows], i + 2)
                 spent = np.bitwise_count((key[rows] & np.uint64((1 << 13) - 1)) ^ _segment(x[rows], i + 1)).astype(np.int64)
-                for flip in [0] if mine else _flips(WIDTHS[(i + 2) % M], 2):
-                    some = rows[spent + bin(flip).count("1") <= 2]
-                    wide = (key[some] << np.uint64(13)) | (_segment(x[some], i + 2) ^ np.uint64(flip))
-                    yield pd.DataFrame({"key": (wide | np.uint64(1 << 62)).view(np.int64), "fp": x[some].view(np.int64), "own": mine if len(some) else pd.Series([], dtype=bool)})
-                del c
+                for flip in _flips(WIDTHS[(i + 2) % M], 2):  # a row to be found by looks others up as well
+                    some = rows[spent + flip.bit_count() <= 2]
+                    wide = (key[some] << np.uint64(13)) | (_segment(x[some], i + 2) ^ np.uint64(flip)) | np.uint64(1 << 62)
+                    yield pd.DataFrame({"key": wide.view(np.int64), "fp": x[some].view(np.int64), "own": np.full(len(some), mine and flip == 0)})
 
 
 def chained(a: np.ndarray, b: np.ndarray) -> np.ndarray:
