@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontamination import op8_decontamination
+from .fingerprints import op2_fingerprints
 from .html_extraction import op9_html_extraction
 from .lm_scoring import op4_lm_scoring
 from .packing import op7_packing
@@ -14,6 +15,7 @@ from .url_filters import OP3_SQL, op3_url_filters
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_fingerprints": op2_fingerprints,
     "op3_url_filters": op3_url_filters,
     "op4_lm_scoring": op4_lm_scoring,
     "op5_toxicity": op5_toxicity,
