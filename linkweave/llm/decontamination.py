@@ -228,5 +228,22 @@ def find(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame
     return out if out is not None else docs.sparkSession.createDataFrame([], FOUND)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
+    """docs without the rows whose text holds an item; only texts go to Python."""
+    for items in item_blocks(benchmark):
+        docs = docs.where(_holds_none(docs.sparkSession.sparkContext.broadcast(items), rate)(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    return docs
+
+
+def _holds_none(held, rate: float):
+    @F.pandas_udf("boolean")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index = Items(held.value, rate)
+        for part in parts:
+            yield pd.Series([not index.matches(t) for t in part], dtype=bool)
+
+    return run
+
+
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:
     return find(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_key")

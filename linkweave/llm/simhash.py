@@ -10,7 +10,7 @@ of its links, never its pairs. A bucket of more than SPLIT fingerprints is dealt
 chain (two bits at most over three segments).
 
 Edge cases: a null text counts as empty, with fingerprint zero, which links like any other; fewer than four words are
-one shingle. Repeated rows each keep a row. A null doc_id is no component's name unless nothing else is there (null).
+one shingle. Repeated rows each get a row. A null doc_id names a component (null) only if none of it has another.
 """
 
 from __future__ import annotations
@@ -59,12 +59,12 @@ def fingerprint(text: str) -> int:
 def _fingerprints(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         marks = np.fromiter(map(fingerprint, part["text"]), np.uint64, len(part))
-        yield pd.DataFrame({"doc_id": part["doc_id"], "fp": marks.view(np.int64)})
+        yield pd.DataFrame({"doc_id": part["doc_id"], "text_key": part["text_key"], "fp": marks.view(np.int64)})
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp: the fingerprint as a signed long."""
-    return doc_rows(docs).mapInPandas(_fingerprints, "doc_id long, fp long")
+    """doc_id, text_key, fp: the fingerprint as a signed long."""
+    return doc_rows(docs).withColumn("text_key", F.xxhash64("text")).mapInPandas(_fingerprints, "doc_id long, text_key long, fp long")
 
 
 def _segment(x: np.ndarray, i: int) -> np.ndarray:
@@ -178,27 +178,37 @@ def _links_in(rows: DataFrame, parts: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id for every row of docs."""
+    """doc_id, text_key, fp, component_id and group (a number of the component, never null) for every row of docs."""
     marks = stage(fingerprints(docs), "simhash")
     distinct = stage(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
     n = distinct.count()
     rows = distinct.select("fp").mapInPandas(_keys, "key long, fp long, own boolean")
-    # Each row meets 14 others at most by chance, so parts are sized by rows.
+    # Each row meets few others by chance, so parts are sized by rows.
     parts = max(distinct.sparkSession.sparkContext.defaultParallelism, 8 * buckets(n * 70 // 8))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where(F.col("n") > SPLIT).select("key")
-    large = stage(sizes, "simhash-large")
+    large = stage(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT).select("key"), "simhash-large")
     if large.isEmpty():
         links = _links_in(rows, parts)
     else:
         rest = _links_in(rows.join(large, "key", "left_anti"), parts)
         finer = rows.join(large, "key", "left_semi").mapInPandas(_finer_keys, "key long, fp long, own boolean")
         links = rest.unionByName(_links_in(finer, parts))
-    links = stage(links.distinct(), "simhash-links")
-    reps = distinct.select(F.col("fp").alias("u"), F.col("rep").alias("a"))
-    edges = links.join(reps, "u").join(reps.select(F.col("u").alias("v"), F.col("a").alias("b")), "v")
-    component = connected(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    named = distinct.join(component, distinct["rep"] == component["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return marks.join(named, "fp").select("doc_id", "fp", "component_id")
+    component = connected(stage(links.distinct(), "simhash-links"))
+    grouped = distinct.join(component, distinct["fp"] == component["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("group"))
+    named = grouped.groupBy("group").agg(F.min("rep").alias("component_id"))
+    return marks.join(grouped.select("fp", "group"), "fp").join(named, "group").select("doc_id", "text_key", "fp", "component_id", "group")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each component: the one with the smallest doc_id (null last), and of those the text's hash."""
+    found = stage(near_duplicates(docs), "simhash-components")
+    first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    kept = found.groupBy("group").agg(F.min(first).alias("k")).select(F.col("k.doc_id").alias("_kept_id"), F.col("k.text_key").alias("_kept_key"))
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (key == F.col("_kept_key")), "left_semi")
+    again = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1")
+    if again.isEmpty():
+        return out
+    return out.withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
 
 
 def op6_simhash_dedup(spark, sf_dir: str) -> DataFrame:

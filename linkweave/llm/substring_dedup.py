@@ -163,5 +163,17 @@ def repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover:
     return middle.where("kind = 0").select("doc_id", "text_key", "n_words", "n_removed", "kept_sha256", "kept").unionByName(last)
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with the words of repeated windows taken out of their texts (what is left is joined by one space)."""
+    changed = repeats(docs, with_text=True).where("kept is not null").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "kept").dropDuplicates(["_id", "_key"])
+    changed = changed.select("_id", "_key", F.col("kept").alias("_kept"))
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    joined = docs.join(changed, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left")
+    new = {"text": F.coalesce("_kept", "text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.char_length("_kept").cast(docs.schema["n_chars"].dataType))
+    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return repeats(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "n_removed", "kept_sha256")

@@ -186,5 +186,18 @@ def score(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFrame:
     return doc_rows(docs).withColumn("text_key", F.xxhash64("text")).mapInPandas(run, "doc_id long, text_key long, held_out boolean, score double, predicted int")
 
 
+def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs without the rows whose text scores 0.5 or more; only texts go to Python."""
+    model = train(docs, labels)
+
+    @F.pandas_udf("boolean")
+    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        rate = model.scorer()
+        for part in parts:
+            yield pd.Series([rate(t) < 0.5 for t in part], dtype=bool)
+
+    return docs.where(clean(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("text_key")

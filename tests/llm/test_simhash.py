@@ -62,7 +62,7 @@ def test_every_link_is_found_also_in_split_buckets(spark, monkeypatch):
     for split in (4096, 4):
         monkeypatch.setattr(simhash, "SPLIT", split)
         marks = flipped(40, split)
-        frame = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(marks)], "doc_id long, fp long")
+        frame = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in enumerate(marks)], "doc_id long, fp long").selectExpr("*", "doc_id as text_key")
         monkeypatch.setattr(simhash, "fingerprints", lambda _, frame=frame: frame)
         got = [(r.doc_id, r.fp & (1 << 64) - 1, r.component_id) for r in near_duplicates(frame).collect()]
         assert sorted(got, key=str) == components(list(enumerate(marks)))
@@ -87,3 +87,14 @@ def test_buckets_that_span_batches():
 
 def test_empty(none):
     assert near_duplicates(none).collect() == []
+
+
+def test_one_of_each_component_stays(spark, docs, texts):
+    got = simhash.keep_one(docs)
+    assert got.columns == docs.columns
+    want = {}
+    for i, f, c in components([(i, fp(t)) for i, t in texts]):
+        if i == c:
+            want[i] = want.get(i, 0) + 1
+    kept = sorted([r.doc_id for r in got.collect()], key=str)
+    assert set(kept) == set(want) and 40 not in kept and kept.count(7) == 2 and kept.count(30) == 1
