@@ -122,23 +122,29 @@ class Items:
         spot = np.repeat(self.first[entry], many) + within
         item = self.item[spot]
         diagonal = np.repeat(at, many) - self.place[spot] + self.sizes[item]
+        # Each hit is in two bands of two widths, so that any width + 1 diagonals lie in one of them.
         width = self.edits[item] + 1
-        out = []
-        for shift in (0, 1):  # band b covers diagonals from (b - shift) * width on, two widths
-            band = diagonal // width + shift
-            key = item * (1 << 40) + band
-            order, n = np.unique(key, return_counts=True)
-            of = order >> 40
-            if shift == 0:
-                base, count = order, n
-            else:
-                pos = np.searchsorted(base, order)
-                pos = np.minimum(pos, len(base) - 1)
-                n = n + np.where(base[pos] == order, count[pos], 0)
-            ok = n >= self.least[of]
-            start = ((order & ((1 << 40) - 1)) - shift) * (self.edits[of] + 1) - self.sizes[of]
-            out += list(zip(of[ok].tolist(), start[ok].tolist()))
-        return out
+        band = diagonal // width
+        most = int(band.max()) + 2
+        cell = item * most + band
+        if len(self.sizes) * most <= 8 * len(cell) + (1 << 16):  # else a count of all cells would cost more than it saves
+            n = np.bincount(cell, minlength=len(self.sizes) * most + 1)
+            n[1:] += n[:-1].copy()
+            reached = n[: len(self.sizes) * most].reshape(-1, most) >= self.least[:, None]
+            flat = np.append(reached.ravel(), False)
+            near = flat[cell] | flat[cell + 1]
+            cell, item, spot = cell[near], item[near], spot[near]
+            if not len(cell):
+                return []
+        bands, of = np.unique(np.concatenate([cell, cell + 1]), return_inverse=True)
+        # What counts is how many of the item's q-grams occur, not how often.
+        span = int(self.sizes.max()) + 1
+        distinct = np.unique(of * span + np.tile(self.place[spot], 2)) // span
+        n = np.bincount(distinct, minlength=len(bands))
+        which, band = bands // most, bands % most
+        ok = n >= self.least[which]
+        start = (band - 1) * (self.edits[which] + 1) - self.sizes[which]
+        return list(zip(which[ok].tolist(), start[ok].tolist()))
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, start, length, edits) in the text's characters; one for each item and overlapping stretch."""
@@ -190,6 +196,8 @@ def align(item: bytes, region: bytes, k: int) -> tuple[int, int, int] | None:
         # Insertions: what runs along the row costs one a column.
         best = np.minimum.accumulate(best - cols * big) + cols * big
         cost, origin = np.minimum(best >> 32, far), best & (big - 1)
+        if i % 4 == 0 and cost.min() > k:
+            return None
     at = int(np.argmin(cost))
     return (int(origin[at]), at, int(cost[at])) if cost[at] <= k and at > origin[at] else None
 
