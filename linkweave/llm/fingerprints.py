@@ -1,6 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame functions only.
 
-A text is cut into paragraphs (lines, and long lines at the ends of sentences, or after PIECE characters). A sketch has
+A text is cut into paragraphs: lines, and long lines at the first end of a sentence after SHORT characters, or after
+PIECE. A sketch has
 three tables of cells; each distinct digest is added to one cell of each: a count, the digests' exclusive or, and that
 of their checks. Sketches of two versions are subtracted cell by cell: what both hold cancels out. Peeling then takes
 digests out of cells that hold a single one, until nothing is left, which recovers the digests that differ.
@@ -29,13 +30,13 @@ from pyspark.sql.window import Window
 
 from .common import doc_rows
 
-PIECE, BASE, GROUP = 160, 4, 12
+SHORT, PIECE, BASE, GROUP = 80, 240, 4, 8
 #: Cells of each of the three tables of a group, by try.
-TABLES = (16, 32)
+TABLES = (12, 32)
 ROUNDS = 10
 #: Rows of a range, about, and ranges at most (their borders are literals).
 RANGE_ROWS, RANGES = 2000, 4096
-_PARAGRAPH = rf"[^\n.!?|]{{1,{PIECE}}}[\n.!?|]*|[\n.!?|]+"
+_PARAGRAPH = rf"[^\n]{{{SHORT},{PIECE}}}?[.!?|]+|[^\n]{{1,{PIECE}}}"
 
 
 def digests(text: Column) -> Column:
@@ -60,17 +61,14 @@ def _cell(n, k, h) -> Column:
 _NOTHING = lambda: _cell(F.lit(0), F.lit(0).cast("long"), F.lit(0).cast("long"))
 
 
-def _at(e: Column, i: Column) -> Column:
-    return (e["a"] == i) | (e["b"] == i) | (e["c"] == i)
-
-
 def sketch(keys: Column, table: int, salt: int) -> Column:
     """3 * table cells (n, k, h) of an array of distinct digests."""
 
-    def cells(entries: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0).cast("long"), F.lit(3 * table - 1).cast("long")), lambda i: F.aggregate(F.filter(entries, lambda e: _at(e, i)), _NOTHING(), lambda c, e: _cell(c["n"] + 1, c["k"].bitwiseXOR(e["k"]), c["h"].bitwiseXOR(e["h"]))))
+    def cells(entries: Column, place: str, first: int) -> Column:
+        numbers = F.sequence(F.lit(first).cast("long"), F.lit(first + table - 1).cast("long"))
+        return F.transform(numbers, lambda i: F.aggregate(F.filter(entries, lambda e: e[place] == i), _NOTHING(), lambda c, e: _cell(c["n"] + 1, c["k"].bitwiseXOR(e["k"]), c["h"].bitwiseXOR(e["h"]))))
 
-    return _let(F.transform(keys, lambda k: _entry(k, table, salt)), cells)
+    return _let(F.transform(keys, lambda k: _entry(k, table, salt)), lambda e: F.concat(cells(e, "a", 0), cells(e, "b", table), cells(e, "c", 2 * table)))
 
 
 def subtract(a: Column, b: Column) -> Column:
@@ -82,20 +80,38 @@ def peel(difference: Column, table: int, salt: int) -> Column:
     pair = "array<struct<k:bigint,n:int>>"
 
     def pure(cells: Column) -> Column:
-        single = F.filter(cells, lambda c: ((c["n"] == 1) | (c["n"] == -1)) & (c["h"] == F.xxhash64(c["k"], F.lit(salt))))
-        return F.array_distinct(F.transform(single, lambda c: F.struct(c["n"].alias("n"), _entry(c["k"], table, salt).alias("e"))))
+        def signed(n: int) -> Column:
+            single = F.filter(cells, lambda c: (c["n"] == n) & (c["h"] == F.xxhash64(c["k"], F.lit(salt))))
+            return F.transform(F.array_distinct(F.transform(single, lambda c: c["k"])), lambda k: F.struct(F.lit(n).alias("n"), _entry(k, table, salt).alias("e")))
+
+        return F.concat(signed(1), signed(-1))
+
+    def without(cells: Column, found: Column) -> Column:
+        def part(place: str, first: int) -> Column:
+            return F.transform(F.slice(cells, first + 1, table), lambda c, i: F.aggregate(F.filter(found, lambda p: p["e"][place] == i + F.lit(first)), c, lambda x, p: _cell(x["n"] - p["n"], x["k"].bitwiseXOR(p["e"]["k"]), x["h"].bitwiseXOR(p["e"]["h"]))))
+
+        return F.concat(part("a", 0), part("b", table), part("c", 2 * table))
+
+    def empty(cells: Column) -> Column:
+        return F.forall(cells, lambda c: (c["n"] == 0) & (c["k"] == 0))
 
     def step(state: Column, _: Column) -> Column:
         def take(found: Column) -> Column:
-            rest = F.transform(state["cells"], lambda c, i: F.aggregate(F.filter(found, lambda p: _at(p["e"], i.cast("long"))), c, lambda x, p: _cell(x["n"] - p["n"], x["k"].bitwiseXOR(p["e"]["k"]), x["h"].bitwiseXOR(p["e"]["h"]))))
-            got = F.transform(found, lambda p: F.struct(p["e"]["k"].alias("k"), p["n"].alias("n")))
-            return F.when(F.size(found) == 0, state).otherwise(F.struct(rest.alias("cells"), F.concat(state["found"], got).alias("found")))
+            rest = without(state["cells"], found)
+            got = F.concat(state["found"], F.transform(found, lambda p: F.struct(p["e"]["k"].alias("k"), p["n"].alias("n"))))
+            stuck = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("over"))
+            return F.when(F.size(found) == 0, stuck).otherwise(_let(rest, lambda r: F.struct(r.alias("cells"), got.alias("found"), empty(r).alias("over"))))
+
+        return F.when(state["over"], state).otherwise(_let(pure(state["cells"]), take))
 
-        return _let(pure(state["cells"]), take)
+    def peeled(cells: Column) -> Column:
+        # A digest is in three cells, so counts of more than the cells can't be taken apart.
+        held = F.aggregate(cells, F.lit(0), lambda n, c: n + F.abs(c["n"]))
+        start = F.struct(cells.alias("cells"), F.array().cast(pair).alias("found"), ((held == 0) & empty(cells) | (held > 3 * 3 * table)).alias("over"))
+        last = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
+        return _let(last, lambda s: F.struct(empty(s["cells"]).alias("done"), s["found"].alias("found")))
 
-    start = F.struct(difference.alias("cells"), F.array().cast(pair).alias("found"))
-    last = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, step)
-    return _let(last, lambda s: F.struct(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["k"] == 0)).alias("done"), s["found"].alias("found")))
+    return _let(difference, peeled)
 
 
 def _deal(keys: Column, groups: Column) -> Column:
