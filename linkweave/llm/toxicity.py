@@ -78,24 +78,26 @@ class Votes:
 
 
 def label_model(votes: np.ndarray, prior: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Posterior probability of the class for each row of 0/1 votes; prior: the first guess, kept as weak evidence."""
+    """Posterior probability of the class for each row of 0/1 votes; prior: the first guess, kept as weak evidence.
+
+    A voter that doesn't fire abstains, which says nothing; that none fires is a vote of its own.
+    """
+    votes = np.hstack([votes, ~votes.any(axis=1, keepdims=True)]).astype(np.float64)
     q = prior.astype(np.float64)
     evidence = np.log(np.clip(prior, 0.02, 0.98) / (1 - np.clip(prior, 0.02, 0.98)))
     for _ in range(rounds):
         rates, shared = [], np.ones(votes.shape[1])
         for weight in (q, 1 - q):
-            total = weight.sum() + 2
-            rate = (weight @ votes + 1) / total
-            rates.append(np.clip(rate, 1e-4, 1 - 1e-4))
+            rate = np.clip((weight @ votes + 0.5) / (weight.sum() + 1), 1e-5, 1 - 1e-5)
+            rates.append(rate)
             centred = (votes - rate) * np.sqrt(weight)[:, None]
             spread = np.sqrt((centred**2).sum(axis=0) + 1e-9)
             correlation = (centred / spread).T @ (centred / spread)
             np.fill_diagonal(correlation, 0)
             shared = np.maximum(shared, 1 + np.clip(correlation, 0, 1).sum(axis=1))
         yes, no = rates
-        fires, quiet = np.log(yes / no) / shared, np.log((1 - yes) / (1 - no)) / shared
         balance = np.log((q.sum() + 1) / ((1 - q).sum() + 1))
-        logit = votes @ (fires - quiet) + quiet.sum() + balance + evidence
+        logit = votes @ (np.log(yes / no) / shared) + balance + evidence
         new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
         if np.abs(new - q).max() < 1e-4:
             break
@@ -103,7 +105,7 @@ def label_model(votes: np.ndarray, prior: np.ndarray, rounds: int = ROUNDS) -> n
     return q
 
 
-def train_linear(x: np.ndarray, q: np.ndarray, rounds: int = 60, ridge: float = 1.0) -> tuple[np.ndarray, float]:
+def train_linear(x: np.ndarray, q: np.ndarray, rounds: int = 60, ridge: float = 0.1) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic regression on soft labels, by Newton steps."""
     full = np.hstack([x, np.ones((len(x), 1))])
     w, keep = np.zeros(full.shape[1]), np.full(full.shape[1], ridge)
