@@ -34,7 +34,7 @@ from .common import KEYED_SCHEMA, buckets, decode_counts, decode_keys, encode_co
 FOLDS, ADD = 10, 0.1
 END = np.uint64(0x2545F4914F6CDD1D)
 #: Larger blocks send fewer n-grams twice.
-LM_BLOCK_BYTES = 16 << 20
+LM_BLOCK_BYTES = 8 << 20
 
 
 def held_out(doc_id: int | None, folds: int = FOLDS) -> bool:
