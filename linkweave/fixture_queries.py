@@ -147,6 +147,7 @@ _READ = {
     "redirect_transitive": (lambda v: R._chains(R.all_redirects(v.redirect, R.page_rows(v.page))), _sql("SELECT root AS target_id, tid AS dst FROM hop WHERE isr = 0")),
     "edges_multiset": (lambda v: v.graph().links, _sql("SELECT src, dst FROM e")),
     "edges_transitive": (lambda v: v.graph("transitive").links, _sql("SELECT src, dst FROM et")),
+    "link_counts": (lambda v: R.link_counts(v.page, v.redirect, v.linktarget, v.pagelinks), _sql('SELECT (SELECT count(*) FROM pagelinks) AS "read", (SELECT count(*) FROM lk) AS resolved, (SELECT count(*) FROM e) AS kept')),
     "vertices_union": (lambda v: v.graph().nodes, _sql("SELECT page_id FROM v")),
     "vertex_index": (lambda v: v.graph().vertex_index(), _sql("SELECT page_id, idx FROM idx")),
     "edges_indexed": (lambda v: v.graph().indexed_edges(), _sql("SELECT src_idx, dst_idx FROM ei")),

@@ -105,3 +105,11 @@ def edges(pages: DataFrame, redirects: DataFrame, targets: DataFrame, links: Dat
 def vertices(pages: DataFrame, edge_rows: DataFrame) -> DataFrame:
     """page_id of all article pages and all sources of edges."""
     return page_rows(pages).select("page_id").union(edge_rows.select("src")).distinct()
+
+
+def link_counts(pages: DataFrame, redirects: DataFrame, targets: DataFrame, links: DataFrame, mode: str = "reference") -> DataFrame:
+    """One row: links that were read, links to a page (before redirects are resolved), and links that are kept."""
+    found = resolved_links(links, linktarget_rows(targets), page_rows(pages))
+    sides = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name, df in (("read", links), ("resolved", found), ("kept", edges(pages, redirects, targets, links, mode)))]
+    rows = sides[0].unionByName(sides[1]).unionByName(sides[2])
+    return rows.agg(*[F.max(F.when(F.col("name") == name, F.col("n"))).alias(name) for name in ("read", "resolved", "kept")])

@@ -7,6 +7,7 @@ TABLE, and a name that isn't there is an error. Every row has _pos, its place in
 
 from __future__ import annotations
 
+import gzip
 import os
 import re
 import shutil
@@ -42,6 +43,16 @@ def fetch(language: str, table: str, folder: str, opener: Callable = urllib.requ
     return path
 
 
+def gunzip(path: str) -> str:
+    """The plain file beside a .gz file, which Spark can split; one that is there is used as it is."""
+    plain = path.removesuffix(".gz")
+    if plain != path and not os.path.exists(plain):
+        with gzip.open(path) as source, open(plain + ".part", "wb") as out:
+            shutil.copyfileobj(source, out)
+        os.replace(plain + ".part", plain)
+    return plain
+
+
 def _lines(spark: SparkSession, path: str, parts: int | None) -> DataFrame:
     """Lines with their place: the partition of the scan and the row in it, which follow the file's order."""
     lines = spark.read.text(path).withColumn("_line", F.monotonically_increasing_id())
@@ -66,9 +77,9 @@ def header_columns(spark: SparkSession, path: str) -> list[str]:
 
 
 def _inserts(spark: SparkSession, path: str, table: str, parts: int | None, quoted: bool) -> DataFrame:
-    lines = _lines(spark, path, parts).where(F.col("value").startswith("INSERT INTO"))
+    lines = _lines(spark, path, parts).where(F.col("value").startswith(f"INSERT INTO `{table}`"))
     values = F.regexp_replace("value", rf"^INSERT INTO `{re.escape(table)}`[^(]*?VALUES\s*", "")
-    return lines.where(F.col("value").startswith(f"INSERT INTO `{table}`")).select("_line", F.posexplode(insert_rows(values, quoted)).alias("_row", "_body"))
+    return lines.select("_line", F.posexplode(insert_rows(values, quoted)).alias("_row", "_body"))
 
 
 def read_dump(spark: SparkSession, path: str, table: str, columns: list[str], parts: int | None = None) -> DataFrame:

@@ -113,3 +113,20 @@ def test_fetch_and_settings(tmp_path):
     assert Settings.of({"WIKI_LANG": "en", "PORT": "x", "USE_MULTITHREAD": "1"}) == Settings("en", True, 8080)
     with pytest.raises(ValueError, match="WIKI_LANG"):
         Settings.of({})
+
+
+def test_plain_file_beside_a_compressed_one(tmp_path):
+    from linkweave.sources import gunzip
+
+    path = f"{tmp_path}/a.sql.gz"
+    with open(path, "wb") as f:
+        f.write(gzip.compress(b"text"))
+    assert open(gunzip(path), "rb").read() == b"text" and gunzip(path) == gunzip(f"{tmp_path}/a.sql")
+
+
+def test_progress(spark):
+    from linkweave.plans.progress import clock, observed, remaining
+
+    frame, report = observed(spark.range(1000), "numbers")
+    assert frame.count() == 1000 and report()["rows"] == 1000
+    assert clock(3725) == "01h02m05s" and clock(remaining(0, 5, 1)) == "N/A" and remaining(10, 30, 5) == 10
