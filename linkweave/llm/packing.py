@@ -4,11 +4,11 @@ Documents (ids by the tokenizer, then an end id) are packed into sequences of at
 cut, into pieces of CAPACITY. What is to be solved is the number of pieces of each length below CAPACITY: at most
 CAPACITY - 1 numbers, however many documents there are.
 
-Bin completion: take the largest length that is left, enumerate the undominated fillings of the room beside it (a
-filling is dominated if another one holds its pieces with larger ones in their place), least waste first, and use the
-filling for as many sequences as the numbers allow. Branches are pruned when the waste so far leaves no room to beat the
-incumbent; the first incumbent is best-fit decreasing, and a solution as small as the lower bound ends the search, as
-does a bound on visited nodes.
+Bin completion: take the largest length that is left, enumerate the undominated fillings of the room beside it, of any
+number of pieces (a filling is dominated if a piece left over can take the place of smaller ones in it, or of none),
+least waste first, and use the filling for as many sequences as the numbers allow, then for fewer. Branches are pruned
+when the waste so far leaves no room to beat the incumbent; the first incumbent is best-fit decreasing, and a solution
+as small as the lower bound ends the search. It is exact when it ends by itself; NODES stops it before that.
 
 A piece's place is looked up by its rank among the pieces of its length, which is a sum of per-task counts.
 
@@ -32,10 +32,8 @@ from .common import doc_rows, stage
 from .tokens import encoder, with_end
 
 CAPACITY, VOCABULARY, END = 2048, "word_bpe_49k.json", 0
-#: Nodes of the search, and fillings that a node tries.
-NODES, FILLINGS = 6000, 4
-#: Waste that fillings of a node reach down to, below the fullest.
-WASTE = 48
+#: Nodes of the search: fillings that are looked at, dominated or not.
+NODES = 6000
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -80,40 +78,79 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
     return best
 
 
-def fillings(counts: np.ndarray, room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of the room by what is left, least waste first."""
-    have = np.flatnonzero(counts[: room + 1])
-    if not len(have):
-        return [()]
-    out: list[tuple[int, ...]] = []
-    top = int(have[-1])
-    if top == room:
-        return [(top,)]
-    for total in range(room, max(0, room - WASTE), -1):
-        if total == top:
-            out.append((top,))
-        else:  # two pieces: the larger from the top, so that none is a splitting of another
-            second = total - have[np.searchsorted(have, total / 2) : np.searchsorted(have, total)][::-1]
-            for b in second[counts[second] > 0][:most].tolist():
-                if b != total - b or counts[b] > 1:
-                    out.append((total - b, b))
-        if total == room and not out:
-            out += _threes(have, counts, room)
-        if len(out) >= most:
-            return out[:most]
-    return out or [(top,)]
-
-
-def _threes(have: np.ndarray, counts: np.ndarray, total: int) -> list[tuple[int, ...]]:
-    """Three pieces that fill the room, for the largest of them that allow it."""
-    for a in have[::-1][:24].tolist():
-        rest = total - a
-        pair = have[np.searchsorted(have, rest / 2) : np.searchsorted(have, min(rest, a + 1))][::-1]
-        for b in pair[counts[rest - pair] > 0].tolist():
-            three = (a, b, rest - b)
-            if all(counts[x] >= three.count(x) for x in three):
-                return [three]
-    return []
+def _sums(pieces: list[tuple[int, int]], room: int) -> list[int]:
+    """Bit r of entry i: the first i of the (length, number) pairs hold pieces that sum to r."""
+    full = (1 << (room + 1)) - 1
+    out = [1]
+    for size, many in pieces:
+        sums, many, step = out[-1], min(many, room // size), 1
+        while many and sums != full:  # 1, 2, 4, ... pieces at once
+            step = min(step, many)
+            sums |= (sums << (step * size)) & full
+            many -= step
+            step *= 2
+        out.append(out[-1] if sums == out[-1] else sums)
+    return out
+
+
+def _exactly(total: int, n: int, pieces: list[tuple[int, int]], sums: list[int]) -> Iterator[tuple[int, ...]]:
+    """All ways to sum to the total by the first n pairs, larger pieces first; sums leads into no dead end."""
+    if not total:
+        yield ()
+        return
+    for i in range(n - 1, -1, -1):
+        size, many = pieces[i]
+        for k in range(min(many, total // size), 0, -1):
+            rest = total - k * size
+            if sums[i] >> rest & 1:
+                for more in _exactly(rest, i, pieces, sums):
+                    yield (size,) * k + more
+        if not sums[i] >> total & 1:
+            return
+
+
+def _dominated(filling: tuple[int, ...], waste: int, unused: int) -> bool:
+    """Whether a piece that is left over (bits of unused) can take the place of smaller ones, or of none."""
+    one, more = 0, 0
+    for size in filling:
+        one, more = one | 1 << size, more | (one | more) << size
+    if more & unused:  # a single piece in place of several that are as long
+        return True
+    larger, reach, left = (1 | one | more) << 1, 1, waste
+    while reach < left:
+        step = min(reach, left - reach)
+        larger, reach = larger | larger << step, reach + step
+    return bool(left and larger & unused)
+
+
+def fillings(counts: np.ndarray, room: int, slack: int | None = None) -> Iterator[tuple[int, ...] | None]:
+    """All undominated fillings of the room by what is left that waste at most slack, least waste first; None stands for
+    each dominated one that was looked at."""
+    have = np.flatnonzero(counts[: room + 1]).tolist()
+    pieces = [(x, int(counts[x])) for x in have]
+    sums, small, n = _sums(pieces, room), 0, 0
+    for waste in range(0, room - (have[0] if have else 0) + 1 if have else room + 1):
+        if slack is not None and waste > slack:
+            return
+        # Pieces that fit into the waste are all in the filling, or another one holds it and more.
+        grown = n
+        while n < len(pieces) and pieces[n][0] <= waste:
+            small += pieces[n][0] * pieces[n][1]
+            n += 1
+        total = room - waste - small
+        if total < 0:
+            return
+        if n > grown:
+            sums = _sums(pieces[n:], room)
+        if not sums[-1] >> total & 1:
+            continue
+        base = tuple(x for x, many in reversed(pieces[:n]) for _ in range(many))
+        for part in _exactly(total, len(pieces) - n, pieces[n:], sums):
+            filling, unused = part + base, 0
+            for x, many in pieces[n:]:
+                if many > part.count(x):
+                    unused |= 1 << x
+            yield None if _dominated(filling, waste, unused) else filling
 
 
 def solve(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> list[Pattern]:
@@ -122,37 +159,50 @@ def solve(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> l
     total = int((np.arange(len(counts)) * counts).sum())
     best = best_fit(counts, capacity)
     used, bound = sum(n for _, n in best), lower_bound(counts, capacity)
-    # A frame: what is left, waste and patterns so far, fillings to try.
-    frames: list[tuple[np.ndarray, int, int, list[tuple[int, ...]]]] = []
+    # A frame: what is left, waste and sequences so far, the patterns to try with their times, those tried that may be
+    # used fewer times, patterns that a frame before has settled.
+    frames: list[tuple[np.ndarray, int, int, Iterator[Pattern | None], frozenset]] = []
     path: list[Pattern] = []
 
-    def open_frame(left: np.ndarray, waste: int, done: int) -> None:
+    def tries(left: np.ndarray, waste: int, settled: frozenset) -> Iterator[Pattern | None]:
         size = int(np.flatnonzero(left)[-1])
         rest = left.copy()
         rest[size] -= 1
-        tries = [tuple(sorted((size, *f), reverse=True)) for f in fillings(rest, capacity - size, FILLINGS)]
-        frames.append((left, waste, done, tries[::-1]))
+        again: list[Pattern] = []
+        for f in fillings(rest, capacity - size, (used - 1) * capacity - total - waste):
+            if f is None or (pattern := (size, *f)) in settled:
+                yield None
+                continue
+            times = min(int(left[x]) // pattern.count(x) for x in set(pattern))
+            again.append((pattern, times))
+            yield pattern, times
+        for pattern, most in again:
+            for times in range(most - 1, 0, -1):
+                yield pattern, times
+
+    def open_frame(left: np.ndarray, waste: int, done: int, settled: frozenset) -> None:
+        frames.append((left, waste, done, tries(left, waste, settled), settled))
 
     if used > bound and total:
-        open_frame(counts, 0, 0)
+        open_frame(counts, 0, 0, frozenset())
     while frames and nodes and used > bound:
         nodes -= 1
-        left, waste, done, tries = frames[-1]
+        left, waste, done, some, settled = frames[-1]
         del path[len(frames) - 1 :]
-        if not tries:
-            frames.pop()
+        pattern, times = next(some, ((), 0)) or (None, 0)
+        if not pattern:
+            if pattern is not None:
+                frames.pop()
             continue
-        pattern = tries.pop()
-        need = np.bincount(pattern, minlength=len(left))
-        times = int((left[need > 0] // need[need > 0]).min())
         spent = waste + times * (capacity - sum(pattern))
         # One sequence fewer than the incumbent leaves this much room for waste.
         if spent > (used - 1) * capacity - total:
             continue
         path.append((pattern, times))
-        rest = left - times * need
+        rest = left - times * np.bincount(pattern, minlength=len(left))
         if rest.any():
-            open_frame(rest, spent, done + times)
+            # While its largest piece is the largest left, more of the pattern is what more times of it have tried.
+            open_frame(rest, spent, done + times, settled | {pattern} if rest[pattern[0]] else frozenset())
         else:
             best, used = list(path), done + times
     return best

@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from linkweave.llm.packing import Plan, best_fit, lower_bound, pack, solve
+from linkweave.llm.packing import Plan, best_fit, fillings, lower_bound, pack, solve
 from linkweave.llm.tokens import vocabulary
 
 
@@ -52,6 +52,45 @@ def test_plans_are_whole_and_near_the_bound(seed):
             seen.add((s, o))
 
 
+def test_fillings_of_many_pieces():
+    counts = np.zeros(2049, np.int64)
+    counts[424], counts[400] = 200, 300
+    assert sum(n for _, n in best_fit(counts, 2048)) == 110
+    assert solve(counts) == [((424, 424, 400, 400, 400), 100)]
+
+
+def test_a_filling_fewer_times_than_it_fits():
+    sizes = [15, 15, 15, 15, 8, 8, 5, 5, 5, 5, 7, 7, 3, 3, 4, 4]
+    for capacity in (21, 23, 26, 30):
+        patterns = solve(counts_of(sizes, capacity), capacity, 10**6)
+        assert sum(np.bincount(p, minlength=capacity + 1) * n for p, n in patterns).tolist() == counts_of(sizes, capacity).tolist()
+        assert sum(n for _, n in patterns) == fewest_by_subsets(sizes, capacity)
+
+
+def fewest_by_subsets(sizes, capacity):
+    """By the fewest sequences, and the most room in the last, for every subset."""
+    best = {0: (1, capacity)}
+    for mask in range(1, 1 << len(sizes)):
+        best[mask] = min((s, -(r - x)) if x <= r else (s + 1, x - capacity) for k, x in enumerate(sizes) if mask >> k & 1 for s, r in [best[mask ^ 1 << k]])
+        best[mask] = (best[mask][0], -best[mask][1])
+    return best[(1 << len(sizes)) - 1][0]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_all_undominated_fillings(seed):
+    r = random.Random(seed)
+    sizes, room = [r.randint(1, 12) for _ in range(r.randint(0, 9))], r.randint(0, 24)
+    some = {tuple(sorted(c, reverse=True)) for n in range(len(sizes) + 1) for c in combinations(sizes, n) if sum(c) <= room}
+
+    def worse(f):
+        left = set((counts_of(sizes, 24) - counts_of(f, 24) if f else counts_of(sizes, 24)).nonzero()[0].tolist())
+        return any(sum(c) <= x <= sum(c) + room - sum(f) and c != (x,) for n in range(len(f) + 1) for c in combinations(f, n) for x in left)
+
+    got = [f for f in fillings(counts_of(sizes, 24), room) if f is not None]
+    assert len(got) == len(set(got)) and {tuple(sorted(f, reverse=True)) for f in got} == {f for f in some if not worse(f)}
+    assert [sum(f) for f in got] == sorted((sum(f) for f in got), reverse=True)
+
+
 def check_packing(rows, capacity):
     held = {}
     for r in rows:
