@@ -1,7 +1,6 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame functions only.
 
-A text is cut into paragraphs: lines, and long lines at the first end of a sentence after SHORT characters, or after
-PIECE. A sketch has
+A text is cut into paragraphs (lines, and long lines at the ends of sentences, or after PIECE characters). A sketch has
 three tables of cells; each distinct digest is added to one cell of each: a count, the digests' exclusive or, and that
 of their checks. Sketches of two versions are subtracted cell by cell: what both hold cancels out. Peeling then takes
 digests out of cells that hold a single one, until nothing is left, which recovers the digests that differ.
@@ -30,13 +29,13 @@ from pyspark.sql.window import Window
 
 from .common import doc_rows
 
-SHORT, PIECE, BASE, GROUP = 80, 240, 4, 8
+PIECE, BASE, GROUP = 160, 4, 8
 #: Cells of each of the three tables of a group, by try.
 TABLES = (12, 32)
 ROUNDS = 10
 #: Rows of a range, about, and ranges at most (their borders are literals).
 RANGE_ROWS, RANGES = 2000, 4096
-_PARAGRAPH = rf"[^\n]{{{SHORT},{PIECE}}}?[.!?|]+|[^\n]{{1,{PIECE}}}"
+_PARAGRAPH = rf"[^\n.!?|]{{1,{PIECE}}}[\n.!?|]*|[\n.!?|]+"
 
 
 def digests(text: Column) -> Column:

@@ -64,3 +64,10 @@ def test_no_rows_and_one_row(spark, none):
     assert fingerprint_rows(none).collect() == []
     (one,) = fingerprint_rows(spark.createDataFrame([(5, "abcd.efgh.")], "doc_id long, text string")).collect()
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"abcd.efgab").hexdigest()
+
+
+def test_an_edit_changes_its_own_sentence_only(spark):
+    first = "One short sentence here. Another one follows it. A third is to be read. The last ends the text."
+    rows = [(1, first), (2, first.replace("short ", "")), (3, "Nothing of it is in this. Not even a sentence.")]
+    got = {r.doc_id: r for r in fingerprint_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].near_next == 3 / 5 and got[2].near_next == 0 and got[1].near_edited >= 0.5
