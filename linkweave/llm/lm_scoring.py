@@ -1,20 +1,23 @@
 """Language-model scoring by a weighted backoff automaton.
 
-States are the root and every training token; the state of h has an arc for each n-gram (h, w) seen in training, and a
-failure arc to the root that carries the backoff weight. With absolute discounting of D, C the count of h and T its
-number of distinct followers:
+States are the root, every training token and every two tokens in a row; the state of h has an arc for each n-gram
+(h, w) seen in training, and a failure arc to the state g of its last token (of a single token: to the root) that
+carries the backoff weight. With absolute discounting of D (one for each order), C the count of h and T its number of
+distinct followers:
 
-    weight(h -> w)    = (c(h, w) - D) / C + D * T / C * p(w)        an arc of h
-    weight(h -> root) = D * T / C, then p(w) from the root          the failure arc
+    weight(h -> w)    = (c(h, w) - D) / C + D * T / C * p(w | g)    an arc of h
+    weight(h -> g)    = D * T / C, then p(w | g) from g             the failure arc
     p(w)              = (c(w) + 0.1) / (N + 0.1 * (V + 1))          arcs of the root, unseen tokens as one
 
 which sums to one for every h. A text is traversed once from left to right, from the state of the end token: each token
-takes an arc, or the failure arc and then the root's, its log10 weight is added, and the state of the token (the root's
-if training doesn't have it) is carried on.
+takes an arc, or failure arcs and then an arc, its log10 weight is added, and the state of the last two tokens (the
+longest end of them that training has) is carried on. Of order 2, states are single tokens.
 
 The automaton is as large as the corpus, so it is never in one place: blocks of documents fetch the arcs that their own
-texts use. A block sends its distinct n-grams once with its training counts, and gets the totals back in the same order;
-a second exchange counts each state's followers (each n-gram counted by one block alone).
+texts use. A block sends its distinct 1- and 2-grams once with its training counts, and gets the totals back in the same
+order, and whether other blocks have them. Then it does so for 3-grams, but for those with a 2-gram that no other block
+has: their totals are its own. A last exchange counts each state's followers (each n-gram counted by one block alone);
+states that are a block's own, or seen once, need none.
 
 Edge cases: a null text counts as empty and has the end token alone; a null doc_id counts as the text "" for the split;
 without training rows the root has only unseen tokens. Repeated rows are separate texts.
@@ -29,9 +32,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEYED_SCHEMA, buckets, decode_counts, decode_keys, encode_counts, keyed_rows, mix, stage, to_blocks, unpack, word_keys
+from .common import KEYED_SCHEMA, buckets, decode_counts, decode_keys, encode_counts, encode_keys, keyed_rows, mix, stage, to_blocks, unpack, word_keys
 
-FOLDS, ADD = 10, 0.1
+FOLDS, ADD, ORDER = 10, 0.1, 3
 END = np.uint64(0x2545F4914F6CDD1D)
 #: Larger blocks send fewer n-grams twice.
 LM_BLOCK_BYTES = 8 << 20
@@ -62,24 +65,49 @@ class _Tokens:
         self.state = np.concatenate([[np.searchsorted(grams, END & ~one)], self.word[:-1]]) if len(tokens) else self.word
         weight = np.concatenate([train, train]).astype(np.float64)
         self.counts = np.bincount(at, weight, len(grams)).astype(np.int64)
+        self.tokens, self.train = tokens, train
+
+
+class _Triples:
+    """A block's distinct 3-grams, whose keys ascend. The first token of a text ends none."""
+
+    def __init__(self, t: _Tokens, shared: np.ndarray):
+        inside = np.ones(len(t.tokens), bool)
+        inside[t.ends + 1 - t.sizes] = False
+        self.at = np.flatnonzero(inside)
+        self.grams, first, self.triple = np.unique(mix(t.grams[t.pair[self.at - 1]], t.tokens[self.at]) | np.uint64(1), return_index=True, return_inverse=True)
+        self.counts = np.bincount(self.triple, t.train[self.at].astype(np.float64), len(self.grams)).astype(np.int64)
+        #: The 2-gram before each place, and before each 3-gram.
+        self.context = t.pair[self.at - 1]
+        self.before = self.context[first]
+        #: Whether other blocks may have the 3-gram.
+        self.sent = shared[self.before] & shared[t.pair[self.at[first]]]
+
+    def totals(self, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        total, owned = self.counts.copy(), np.ones(len(self.grams), bool)
+        total[self.sent], owned[self.sent], _ = _gather(answers)
+        return total, owned
 
 
 def _totals(rows: pd.DataFrame) -> pd.DataFrame:
-    """Each block's keys' counts over all blocks, and the owner of each key: the first block that has it."""
+    """Each block's keys' counts over all blocks, whether several have the key, and its owner: the first block that does."""
     keys = [decode_keys(k) for k in rows["keys"]]
     flat, counts = np.concatenate(keys), np.concatenate([decode_counts(c) for c in rows["counts"]])
-    distinct, first, inverse = np.unique(flat, return_index=True, return_inverse=True)
+    distinct, first, inverse, many = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
     total = np.bincount(inverse, counts, len(distinct)).astype(np.int64)
     owned = np.zeros(len(flat), np.int64)
     owned[first] = 1
     ends = np.cumsum([len(k) for k in keys])
     pieces = [slice(e - len(k), e) for k, e in zip(keys, ends)]
-    pairs, out = (distinct & np.uint64(1)).astype(bool), total[inverse] * 2 + owned
+    pairs, out = (distinct & np.uint64(1)).astype(bool), total[inverse] * 4 + (many > 1)[inverse] * 2 + owned
     some = np.zeros((len(rows), 4), np.int64)
     some[0] = total[~pairs].sum(), (total[~pairs] > 0).sum(), (total[pairs] == 1).sum(), (total[pairs] == 2).sum()
+    some[0, 2:] += rows[["once", "twice"]].to_numpy(dtype=np.int64).sum(0)
     return pd.DataFrame({"blk": rows["blk"], "r": rows["r"], "answer": [encode_counts(out[p]) for p in pieces], "tokens": some[:, 0], "types": some[:, 1], "once": some[:, 2], "twice": some[:, 3]})
 
 
+#: once, twice: n-grams that a block doesn't send, by their count.
+SENT = KEYED_SCHEMA + ", once long, twice long"
 ANSWER = "blk long, r int, answer binary, tokens long, types long, once long, twice long"
 
 
@@ -87,14 +115,53 @@ def _exchange(keyed: DataFrame) -> DataFrame:
     return keyed.groupBy("r").applyInPandas(_totals, ANSWER)
 
 
-def _gather(answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts in the order of a block's keys, and whether it owns each."""
-    got = np.concatenate([decode_counts(a) for a in answers.sort_values("r")["answer"]]) if len(answers) else np.zeros(0, np.int64)
-    return got >> 1, (got & 1).astype(bool)
+def _sent(blk: int, keys: np.ndarray, counts: np.ndarray, parts: int, rest: np.ndarray | None = None) -> pd.DataFrame:
+    """Rows of SENT for a block's ascending distinct keys; rest: counts of n-grams that it doesn't send."""
+    rows = keyed_rows(blk, keys, counts, parts)
+    if rest is not None and not len(rows):
+        rows = pd.DataFrame([(blk, 0, encode_keys(keys), encode_counts(counts))], columns=rows.columns)
+    rows["once"] = rows["twice"] = 0
+    if rest is not None:
+        rows.loc[0, ["once", "twice"]] = int((rest == 1).sum()), int((rest == 2).sum())
+    return rows
+
 
+def _discount(once: int, twice: int) -> float:
+    return once / (once + 2 * twice) if once and twice else 0.5
 
-def score(docs: DataFrame, folds: int = FOLDS, block_bytes: int = LM_BLOCK_BYTES) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row."""
+
+def _gather(answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts in the order of a block's keys, whether it owns each, and whether other blocks have it."""
+    got = np.concatenate([decode_counts(a) for a in answers.sort_values("r")["answer"]]) if len(answers) else np.zeros(0, np.int64)
+    return got >> 2, (got & 1).astype(bool), (got & 2).astype(bool)
+
+
+class _Known:
+    """What a block knows of its n-grams by the answers (kind 0: 1- and 2-grams, 2: 3-grams)."""
+
+    def __init__(self, t: _Tokens, answers: pd.DataFrame, order: int):
+        self.total, owned, shared = _gather(answers[answers["kind"] == 0])
+        arcs, first = np.unique(t.pair, return_index=True)
+        mine = owned[arcs] & (self.total[arcs] > 0)
+        self.followers = np.bincount(t.state[first[mine]], minlength=len(t.grams))
+        states = t.state
+        if order > 2:
+            self.triples = _Triples(t, shared)
+            self.total3, owned = self.triples.totals(answers[answers["kind"] == 2])
+            self.followers += np.bincount(self.triples.before[owned & (self.total3 > 0)], minlength=len(t.grams))
+            states = np.concatenate([states, self.triples.before])
+        states = np.unique(states)
+        #: States whose followers other blocks may have.
+        self.asked = states[shared[states] & (self.total[states] > 1)]
+
+    def all_followers(self, answers: pd.DataFrame) -> np.ndarray:
+        out = np.where(self.total == 1, 1, self.followers)
+        out[self.asked], _, _ = _gather(answers[answers["kind"] == 1])
+        return out
+
+
+def score(docs: DataFrame, folds: int = FOLDS, block_bytes: int = LM_BLOCK_BYTES, order: int = 2) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; order: 2 or 3."""
     blocks = to_blocks(docs, "lm", block_bytes)
     words = blocks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     parts = buckets(words)
@@ -103,49 +170,57 @@ def score(docs: DataFrame, folds: int = FOLDS, block_bytes: int = LM_BLOCK_BYTES
         for batch in batches:
             for blk, payload in batch[["blk", "payload"]].itertuples(index=False):
                 t = _Tokens(payload, folds)
-                yield keyed_rows(blk, t.grams, t.counts, parts)
+                yield _sent(blk, t.grams, t.counts, parts)
 
-    def states(t: _Tokens) -> np.ndarray:
-        """The distinct numbers of the tokens that a text of the block is in the state of."""
-        return np.unique(t.state)
+    def triple_keys(left: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        blk, payload = next(left[["blk", "payload"]].itertuples(index=False))
+        t = _Triples(_Tokens(payload, folds), _gather(answers)[2])
+        return _sent(blk, t.grams[t.sent], t.counts[t.sent], parts, t.counts[~t.sent]).astype({"blk": "int64", "r": "int32"})
 
     def follower_keys(left: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"blk": [], "r": [], "keys": [], "counts": []})]
-        for blk, payload in left[["blk", "payload"]].itertuples(index=False):
-            t = _Tokens(payload, folds)
-            total, owned = _gather(answers)
-            arcs, first = np.unique(t.pair, return_index=True)
-            mine = owned[arcs] & (total[arcs] > 0)
-            followers = np.bincount(t.state[first[mine]], minlength=len(t.grams))
-            own = states(t)
-            out.append(keyed_rows(blk, t.grams[own], followers[own], parts))
-        return pd.concat(out, ignore_index=True).astype({"blk": "int64", "r": "int32"})
-
-    def traverse(left: pd.DataFrame, answers: pd.DataFrame, n: int, v: int, discount: float) -> pd.DataFrame:
-        out = []
-        for payload in left["payload"]:
-            t = _Tokens(payload, folds)
-            total, _ = _gather(answers[answers["kind"] == 0])
-            followers = np.zeros(len(t.grams), np.int64)
-            followers[states(t)], _ = _gather(answers[answers["kind"] == 1])
-            root = (total[t.word] + ADD) / (n + ADD * (v + 1))
-            seen = total[t.state]  # each token but an end has one follower, and each training text starts after an end
-            known = np.maximum(seen, 1)
-            weight = np.where(seen > 0, np.maximum(total[t.pair] - discount, 0) / known + discount * followers[t.state] / known * root, root)
-            starts = t.ends + 1 - t.sizes
-            sums = [np.add.reduceat(x, starts) for x in ((total[t.word] > 0).astype(np.int64), np.log10(root), np.log10(weight))]
-            out.append(pd.DataFrame({"doc_id": pd.array(t.ids, "Int64"), "held_out": t.held, "n_tokens": t.sizes, "n_known": sums[0], "train_tokens": n, "base_score": sums[1], "score": sums[2]}))
-        return pd.concat(out, ignore_index=True)
+        blk, payload = next(left[["blk", "payload"]].itertuples(index=False))
+        t = _Tokens(payload, folds)
+        known = _Known(t, answers, order)
+        return _sent(blk, t.grams[known.asked], known.followers[known.asked], parts).astype({"blk": "int64", "r": "int32"})
+
+    def traverse(left: pd.DataFrame, answers: pd.DataFrame, n: int, v: int, discounts: tuple[float, float]) -> pd.DataFrame:
+        t = _Tokens(left["payload"].iloc[0], folds)
+        known = _Known(t, answers, order)
+        total, followers = known.total, known.all_followers(answers)
+
+        def backed(count: np.ndarray, state: np.ndarray, discount: float, shorter: np.ndarray) -> np.ndarray:
+            seen = total[state]  # each token but an end has one follower, and each training text starts after an end
+            some = np.maximum(seen, 1)
+            return np.where(seen > 0, np.maximum(count - discount, 0) / some + discount * followers[state] / some * shorter, shorter)
+
+        root = (total[t.word] + ADD) / (n + ADD * (v + 1))
+        weight = backed(total[t.pair], t.state, discounts[0], root)
+        if order > 2:
+            three = known.triples
+            weight[three.at] = backed(known.total3[three.triple], three.context, discounts[1], weight[three.at])
+        starts = t.ends + 1 - t.sizes
+        sums = [np.add.reduceat(x, starts) for x in ((total[t.word] > 0).astype(np.int64), np.log10(root), np.log10(weight))]
+        return pd.DataFrame({"doc_id": pd.array(t.ids, "Int64"), "held_out": t.held, "n_tokens": t.sizes, "n_known": sums[0], "train_tokens": n, "base_score": sums[1], "score": sums[2]})
 
     own = blocks.select("blk", "payload")
-    grams = stage(_exchange(own.mapInPandas(gram_keys, KEYED_SCHEMA)), "lm-grams", "none")
-    n, v, once, twice = grams.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", "once", "twice")]).first()
-    discount = once / (once + 2 * twice) if once and twice else 0.5
+
+    def each_block(answers: DataFrame, use, schema: str) -> DataFrame:
+        return own.groupBy("blk").cogroup(answers.groupBy("blk")).applyInPandas(use, schema)
+
+    def sums(df: DataFrame, *names: str):
+        return df.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in names]).first()
+
+    grams = stage(_exchange(own.mapInPandas(gram_keys, SENT)), "lm-grams", "none")
+    n, v, once, twice = sums(grams, "tokens", "types", "once", "twice")
+    discounts = (_discount(once, twice), 0.5)
     answers = grams.select("blk", "r", "answer", F.lit(0).alias("kind"))
-    keyed = own.groupBy("blk").cogroup(answers.groupBy("blk")).applyInPandas(follower_keys, KEYED_SCHEMA)
-    both = answers.unionByName(_exchange(keyed).select("blk", "r", "answer", F.lit(1).alias("kind")))
-    return own.groupBy("blk").cogroup(both.groupBy("blk")).applyInPandas(lambda a, b: traverse(a, b, n, v, discount), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    if order > 2:
+        triples = stage(_exchange(each_block(answers, triple_keys, SENT)), "lm-triples", "none")
+        discounts = (discounts[0], _discount(*sums(triples, "once", "twice")))
+        answers = answers.unionByName(triples.select("blk", "r", "answer", F.lit(2).alias("kind")))
+    both = answers.unionByName(_exchange(each_block(answers, follower_keys, SENT)).select("blk", "r", "answer", F.lit(1).alias("kind")))
+    return each_block(both, lambda a, b: traverse(a, b, n, v, discounts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op4_lm_scoring(spark, sf_dir: str) -> DataFrame:
-    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), order=ORDER)
