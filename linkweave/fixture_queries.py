@@ -100,7 +100,7 @@ def _levels(view: Views, start: int = START) -> tuple[DataFrame, DataFrame]:
     first = view.spark.createDataFrame([(start,)], "node long")
     side = P.Side(first, first.select("node", F.lit(0).alias("dist")), False)
     parents = None
-    while side.depth < 25 and not side.frontier.isEmpty():
+    while not side.frontier.isEmpty():
         side.advance(links)
         parents = side.levels[-1] if parents is None else parents.unionByName(side.levels[-1])
     return side.seen, parents
