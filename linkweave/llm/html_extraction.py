@@ -38,10 +38,23 @@ HEAD_TAGS = frozenset(("head", "title"))
 CLOSES = {"p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",))}
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|[^<]+|<", re.S)
 _ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDING = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_HIDING = re.compile(r"hidden|display\s*:\s*none", re.I)
+_ANY_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?|\"[^\"]*\"|'[^']*'")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _SPACE = re.compile(r"\s+")
 
 
+def hides(attributes: str) -> bool:
+    """Whether a tag's attributes hide its element: hidden, a style without display, or aria-hidden."""
+    if not _HIDING.search(attributes):
+        return False
+    for name, *values in _ANY_ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(values)
+        if name == "hidden" or name == "style" and _NO_DISPLAY.search(value) or name == "aria-hidden" and value.strip().lower() == "true":
+            return True
+    return False
+
+
 class Block:
     __slots__ = ("linked", "path", "text", "words")
 
@@ -108,7 +121,7 @@ def blocks(page: str) -> list[Block]:
                     if stack[k][0] in BLOCK_TAGS:
                         break
             words = tuple(w for a in _ATTRIBUTE.findall(m[3]) for w in re.findall(r"[a-z]+", "".join(a).lower()))
-            if name in HEAD_TAGS or _HIDING.search(m[3]):
+            if name in HEAD_TAGS or hides(m[3]):
                 hidden.append(len(stack))
             stack.append((name, words))
             links += name == "a"

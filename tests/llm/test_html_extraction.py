@@ -40,3 +40,13 @@ def test_every_row_has_a_text(spark):
     assert by[3].text == "Title\nSome words of an article, long enough.\nAnd more of it." == main_text(default_chain(), body)
     assert by[None].text.count("\n") == 2999 and by[None].n_chars == len(by[None].text)
     assert extract(spark.createDataFrame(rows[:0], "page_id long, url string, html string")).collect() == []
+
+
+@pytest.mark.parametrize("tag", ["p title='the hidden cost'", 'p class="a hidden b"', "p title=\"aria-hidden='true'\"", "p data-x='display: none'", "p data-hidden=1", "p aria-hidden=false", "p id=hidden"])
+def test_words_in_values_hide_nothing(tag):
+    assert [b.text for b in blocks(f"<main><{tag}>text</p></main>")] == ["text"]
+
+
+@pytest.mark.parametrize("tag", ["p hidden", "p title='a'hidden", 'p class="a" HIDDEN=""', "p hidden=until-found", "p style=display:none", 'p style="color: red; DISPLAY : none"', "p aria-hidden = true", "p aria-hidden='true'"])
+def test_hiding_attributes(tag):
+    assert [b.text for b in blocks(f"<main><{tag}>text</p>rest</main>")] == ["rest"]
