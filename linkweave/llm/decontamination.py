@@ -7,10 +7,13 @@ edits. Such a stretch shares at least m - q + 1 - k * q of its q-grams (q = 8) w
 diagonals that overlap by half, one of which holds them all. Bands that reach the bound are verified by an alignment
 whose cells stay within the band.
 
+Items of fewer than 2 q bytes, too short for the lemma, are found where they occur without edits and as whole words (next
+to letters of scripts without spaces, anywhere).
+
 Before any of that, stretches of the document that hold too few q-grams of any item at all are skipped, by one running
 sum. Items are broadcast in blocks of at most ITEM_BYTES bytes, each against all documents.
 
-Edge cases: null and empty texts, and items of fewer than 2 q bytes, are part of no match; of overlapping stretches of a
+Edge cases: null and empty texts, and items without letters and digits, are part of no match; of overlapping stretches of a
 document that match an item, the one with the fewest edits is reported. A benchmark or documents without rows give no
 matches. Repeated rows are each reported; other columns don't matter.
 """
@@ -18,6 +21,7 @@ matches. Repeated rows are each reported; other columns don't matter.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +35,8 @@ Q, RATE = 8, 0.1
 #: Bytes of items in a broadcast.
 ITEM_BYTES = 4 << 20
 FOUND = "doc_id long, text_key long, item_id long, start long, length long, edits int"
+#: Letters of scripts that don't put spaces between words: Thai to Tibetan, Burmese, Khmer, Chinese and Japanese.
+_NO_SPACES = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _KEEP = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -60,13 +66,26 @@ def budget(m: int, rate: float) -> int:
     return min(int(rate * m), (m - Q) // Q)
 
 
+def bounded(raw: bytes, a: int, b: int) -> bool:
+    """Whether raw[a:b] neither begins nor ends inside of a word."""
+    inner = raw[a:b].decode(errors="ignore")
+    before, after = raw[max(0, a - 4) : a].decode(errors="ignore")[-1:], raw[b : b + 4].decode(errors="ignore")[:1]
+    return not any(out and unicodedata.category(out)[0] in "LMN" and not _NO_SPACES.match(out) and not _NO_SPACES.match(edge) for out, edge in ((before, inner[:1]), (after, inner[-1:])))
+
+
 class Items:
     """Items with an index from q-grams to places in them, and a bitmap that most other q-grams miss."""
 
     BITS = 22
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
-        kept = [(i, n.strip()) for i, n in ((i, normal(t)[0]) for i, t in items) if len(n.strip()) >= 2 * Q]
+        flat_items = [(i, normal(t)[0].strip()) for i, t in items]
+        kept = [(i, n) for i, n in flat_items if len(n) >= 2 * Q]
+        self.short: dict[int, dict[bytes, list[int]]] = {}
+        for i, n in flat_items:
+            if 0 < len(n) < 2 * Q:
+                self.short.setdefault(len(n), {}).setdefault(n, []).append(i)
+        self.short_keys = {m: np.unique(np.array([int.from_bytes(n[:Q], "little") for n in some], np.uint64)) for m, some in self.short.items()}
         self.ids, self.texts = [i for i, _ in kept], [t for _, t in kept]
         self.sizes = np.array([len(t) for t in self.texts], np.int64)
         self.edits = np.array([budget(len(t), rate) for t in self.texts], np.int64)
@@ -146,6 +165,20 @@ class Items:
         start = (band - 1) * (self.edits[which] + 1) - self.sizes[which]
         return list(zip(which[ok].tolist(), start[ok].tolist()))
 
+    def short_places(self, raw: bytes) -> Iterator[tuple[int, int, int]]:
+        """(item_id, start, end) of items too short for the lemma; of places that overlap, an item's first."""
+        if not self.short:
+            return
+        starts = grams(raw + bytes(Q - 1))
+        for m, keys in self.short_keys.items():
+            x = starts & np.uint64((1 << 8 * m) - 1) if m < Q else starts
+            ends: dict[bytes, int] = {}
+            for a in np.flatnonzero(np.isin(x, keys)).tolist():
+                n = raw[a : a + m]
+                if n in self.short[m] and ends.get(n, 0) <= a and bounded(raw, a, a + m):
+                    ends[n] = a + m
+                    yield from ((i, a, a + m) for i in self.short[m][n])
+
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, start, length, edits) in the text's characters; one for each item and overlapping stretch."""
         raw, places = normal(text)
@@ -166,6 +199,8 @@ class Items:
             taken.append((i, a, b))
             start, length = self._characters(text, places, a, b)
             out.append((self.ids[i], start, length, edits))
+        for i, a, b in self.short_places(raw):
+            out.append((i, *self._characters(text, places, a, b), 0))
         return out
 
     @staticmethod

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from linkweave.llm.decontamination import Q, Items, align, budget, find, normal
+from linkweave.llm.decontamination import Q, Items, align, budget, clean, find, normal
 
 
 def prose(r, n):
@@ -80,3 +80,24 @@ def test_edge_cases(spark, docs, none):
 
 def test_few_grams_never_match():
     assert Items([(1, "x" * (2 * Q - 1))], 0.1).matches("x" * 100) == []
+
+
+def test_short_items_are_found_as_whole_words():
+    index = Items([(1, "17 + 25 = 42"), (2, "Paris"), (3, "東京大学院"), (4, "!?"), (5, "no no"), (6, "Élan"), (7, "a longer item of several words")], 0.1)
+
+    def found(text):
+        return [(i, text[a : a + n], e) for i, a, n, e in index.matches(text)]
+
+    assert found("so 17+25=42.") == [(1, "17+25=42", 0)] and found("so 17+25=421.") == found("117+25=42") == []
+    assert found("PARIS, paris; comparison and Parisian") == [(2, "PARIS", 0), (2, "paris", 0)]
+    assert found("彼は東京大学院で学ぶ") == [(3, "東京大学院", 0)]
+    assert found("no, no, no!? no") == [(5, "no, no", 0), (5, "no!? no", 0)]
+    assert found("élan") == [(6, "élan", 0)] and found("élané") == found("") == []
+    assert found("Paris: a longer item of several words") == [(7, "a longer item of several words", 0), (2, "Paris", 0)]
+
+
+def test_a_benchmark_of_short_items_only(spark):
+    docs = spark.createDataFrame([(1, "It is 42, they say."), (2, "It is 421."), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, "42"), (8, "")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.start, r.length, r.edits) for r in find(docs, bench).collect()] == [(1, 9, 6, 2, 0)]
+    assert {r.doc_id for r in clean(docs, bench).collect()} == {2, 3}
