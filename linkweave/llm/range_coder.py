@@ -1,15 +1,16 @@
-"""An adaptive context-mixing range coder for token ids, run over many blocks at once.
+"""An adaptive context-mixing range coder for token ids, in independent blocks.
 
-A block of ids is coded on its own: its models start afresh, and it has a checksum. All blocks of a group advance
-together, one id a step, each in a lane of numpy arrays, so the cost of a step is shared by all lanes.
+A block of ids is coded on its own: its models start afresh, and it has a checksum. Its ids are cut into runs, one a lane
+of numpy arrays, and all lanes advance together, one id a step. The lanes share the block's models, so what one run has
+shown helps all others, and the models stay small enough for a processor's cache.
 
-For each id, the id that last followed the two ids before (order 2) and the one id before (order 1) are predicted, each
-with a confidence. Which prediction holds is coded first: the odds are mixed by adding the adaptive counts of the order-2
-confidence and those of the order-1 confidence. Where neither holds, order 0 codes the id's four hexadecimal digits by
-adaptive counts, each digit in the context of those before.
+For each id, order 2 (the two ids before, in checked slots by their hash) predicts one id, and order 1 (the id before)
+two, each with a confidence. Which prediction holds is coded first, by shares that mix three estimates: the counts of
+what held at both confidences, at that of order 2, and at that of order 1. Where none holds, order 0 codes the id by
+the counts of the ids that no prediction had; an id that has not been seen so far takes an escape and its 16 bits.
 
-Each digit's distribution is kept as cumulative shares of 2 ** 15, which move towards the digit seen by a fixed part
-(never to nothing for any digit); the counts of order 1 and 2 are halved now and then.
+Predictions are learnt after every step; shares are made anew after steps 1, 2, 4, 8 and every ROUND steps, from counts
+that are halved when they are large. All of it is integers, so the decoder repeats exactly what the encoder did.
 
 The coder keeps 64 bits of low and range and puts out 16 at a time; where low and the end of the range still differ
 above, the range is cut at the border instead of carrying.
@@ -21,86 +22,103 @@ import zlib
 
 import numpy as np
 
-LANES, MOST, LEAST = 1024, 8192, 512
-_SLOTS, _STEP, _FULL, _SHARE = 12, 24, 3000, 15
+#: Ids of a block, lanes at most, ids of a lane at least, steps between new shares.
+BLOCK, LANES, LEAST, ROUND = 1 << 22, 8192, 128, 32
+_IDS, _SLOTS, _SHARE = 1 << 16, 18, 16
+_FULL, _FULL_IDS = 1 << 14, 1 << 20
 _U = np.uint64
 _TOP, _LEAST, _LOW = _U(48), _U(1 << 48), _U((1 << 48) - 1)
-_RATES = (5, 4, 4, 3)
+_BITS = _U(_SHARE)
+#: What held: 0 nothing, 1 order 1's first id, 2 its second, 3 order 2's; by (order 2, first, second) as bits.
+_HELD = np.array([0, 3, 1, 3, 2, 3, 1, 3])
+#: Confidence of order 1 after a miss or a hit of its first id; one of at most YIELDS gives way to the new id.
+_YIELDS = 2
+_NEXT = np.array([1, 1, 1, 1, 2, 3, 4, 5, 1, 2, 3, 4, 5, 6, 7, 7])
+#: The same of order 2: another context's slot, its own with a miss, never, its own with a hit.
+_NEXT_TWO = np.concatenate([[1, 1, 1, 2, 2, 3, 4, 5], _NEXT[:8], np.zeros(8, np.int64), _NEXT[8:]])
+#: Whether order 2's slot is given to the new context and id, by the same states.
+_FRESH = np.array([k < 16 and k % 8 <= _YIELDS for k in range(32)]).astype(np.int64)
 
 
-def block_size(n: int) -> int:
-    """Ids in a block: as many as give a group its lanes, within limits."""
-    return max(LEAST, min(MOST, 1 << max(0, (n // LANES).bit_length())))
+def _flag(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.int64)
 
 
-def _targets() -> np.ndarray:
-    """For each digit, the borders (a zero and 15 inner ones) that seeing it moves towards; each digit keeps a few."""
-    borders = np.arange(16)
-    out = np.where(borders[None, :] > np.arange(16)[:, None], (1 << _SHARE) - 8 * (16 - borders), 8 * borders)
-    return out.astype(np.int16)
-
-
-_TARGETS = _targets()
-_EVEN = (np.arange(16) << (_SHARE - 4)).astype(np.int16)
-#: A row of borders as one value, which numpy moves faster than 16.
-_ROW = np.dtype("V32")
-#: Confidence after a miss or a hit, by that before.
-_TRUST = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7]) << 16
-#: Whether a miss puts the new id in the place of the predicted one, by confidence.
-_YIELDS = np.array([True, True, False, False, False, False, False, False])
+def _either(flag: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a where the flag is 1, b where it is 0; without branches, which cost numpy more than the arithmetic."""
+    return b ^ ((a ^ b) & -flag)
 
 
 class _Models:
-    def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.slot = self.lane << _SLOTS
-        self.row = self.lane * 32
-        # Predicted id and confidence in one number, by the hash of the context.
-        self.cells = [np.zeros(lanes << _SLOTS, np.int64) for _ in range(2)]
-        # Counts of what held (order 0, 1, 2), by confidence.
-        self.held = [np.full(lanes * 32, 4, np.int64) for _ in range(2)]
-        self.shares = [np.tile(_EVEN, (lanes * 16**k, 1)) for k in range(4)]
-        self.whole = [s.view(_ROW).ravel() for s in self.shares]
+    def __init__(self):
+        self.ones, self.twos = np.zeros(_IDS, np.int64), np.zeros(1 << _SLOTS, np.int64)
+        self.joint = np.zeros((8, 16, 4), np.int64)  # by confidence of order 2, of order 1 and whether both say the same
+        self.missed = np.zeros(_IDS + 1, np.int64)
+        self.missed[_IDS] = 32
+        self.held: list[np.ndarray] = []
+        self.misses: list[np.ndarray] = []
         self.steps = 0
-
-    def predict(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Borders of the counts of order 0, 1 and 2 (four rows) for the next id of each of the first lanes."""
-        n = len(one)
-        mask = (1 << _SLOTS) - 1
-        self.at = ((one * 40503 >> 3) & mask) + self.slot[:n], ((one * 48271 + two * 69621 >> 2) & mask) + self.slot[:n]
-        cells = self.cells[0].take(self.at[0]), self.cells[1].take(self.at[1])
-        self.say, self.trust = [c & 0xFFFF for c in cells], [c >> 16 for c in cells]
-        low, high = self.rows = [(t << 2) + self.row[:n] for t in self.trust]
-        out = np.zeros((4, n), np.int64)
-        for k in range(3):
-            out[k + 1] = self.held[0].take(low + k) + self.held[1].take(high + k)
-        second = self.trust[1] > 0
-        out[2] *= (self.trust[0] > 0) & (~second | (self.say[0] != self.say[1]))
-        out[3] *= second
-        out[2] += out[1]
-        out[3] += out[2]
-        return out
-
-    def learn(self, ids: np.ndarray, order: np.ndarray) -> None:
-        for k in range(2):
-            at = self.rows[k] + order
-            np.put(self.held[k], at, self.held[k].take(at) + _STEP)
-            hit = self.say[k] == ids
-            put = np.where(_YIELDS.take(self.trust[k]), ids, self.say[k])
-            np.put(self.cells[k], self.at[k], put | _TRUST.take(self.trust[k] + 8 * hit))
+        self._shares()
+        self._missed_shares()
+
+    def _shares(self) -> None:
+        """share and below: of each outcome at each pair of confidences."""
+
+        def estimate(counts: np.ndarray) -> np.ndarray:
+            return 24 * counts // (counts.sum(axis=-1, keepdims=True) + 1)
+
+        mixed = 4 * self.joint + estimate(self.joint.sum(axis=1, keepdims=True)) + estimate(self.joint.sum(axis=0, keepdims=True)) + 1
+        share = mixed * ((1 << _SHARE) - 4) // mixed.sum(axis=-1, keepdims=True) + 1
+        share[..., 0] += (1 << _SHARE) - share.sum(axis=-1)
+        self.below = np.ascontiguousarray(np.cumsum(share, axis=-1) - share).reshape(-1)
+        self.share = share.reshape(-1)
+
+    def _missed_shares(self) -> None:
+        """The same of each id that order 0 has seen, and of the escape."""
+        seen = self.missed > 0
+        total = int(self.missed.sum())
+        own = self.missed * ((1 << _SHARE) - int(seen.sum())) // total + seen
+        own[_IDS] += (1 << _SHARE) - int(own.sum())
+        self.own, self.under = own, np.cumsum(own) - own
+        self.found = np.repeat(np.arange(_IDS + 1), own)
+
+    def predict(self, last: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """The place of each lane's outcomes in share and below."""
+        key = last * 0x2F0B4C47 + before * 0x1D8AF067
+        self.slot = (key >> 12) & ((1 << _SLOTS) - 1)
+        self.check = (key >> 30) << 19
+        self.two, self.one, self.last = self.twos[self.slot], self.ones[last], last
+        self.same = _flag(((self.two ^ self.check) >> 19) == 0)
+        self.sure = (self.two >> 16) & 7
+        self.says = (self.two & 0xFFFF, self.one & 0xFFFF, (self.one >> 16) & 0xFFFF)
+        self.trust = self.one >> 32
+        return ((self.sure & -self.same) << 6) | (self.trust << 3) | (_flag(self.says[0] == self.says[1]) << 2)
+
+    def outcome(self, ids: np.ndarray) -> np.ndarray:
+        two, first, second = ((s == ids).view(np.int8) for s in self.says)
+        return _HELD[two + (first << 1) + (second << 2)]
+
+    def learn(self, ids: np.ndarray, held: np.ndarray, missed: np.ndarray) -> None:
+        """ids of a step, the place of what held in share, the ids that no prediction had."""
+        right, old = _flag(self.says[0] == ids), self.two & ~(7 << 16)
+        state = self.sure | (self.same << 3) | ((right & self.same) << 4)
+        self.twos[self.slot] = _either(_FRESH[state], self.check | ids, old) | (_NEXT_TWO[state] << 16)
+        right = _flag(self.says[1] == ids)
+        keep = right | (self.trust > _YIELDS)
+        second = _either(right, self.says[2], _either(keep, ids, self.says[1]))
+        self.ones[self.last] = _either(keep, self.says[1], ids) | (second << 16) | (_NEXT[self.trust | (right << 3)] << 32)
+        self.held.append(held)
+        self.misses.append(missed)
         self.steps += 1
-        if self.steps % 32 == 0:
-            for held in self.held:
-                rows = held.reshape(-1, 4)
-                full = np.flatnonzero(rows.sum(axis=1) > _FULL)
-                rows[full] -= rows[full] >> 1
-
-    def borders(self, level: int, node: np.ndarray) -> np.ndarray:
-        return self.shares[level].take(node, axis=0)
-
-    def learn_digit(self, level: int, node: np.ndarray, rows: np.ndarray, digit: np.ndarray) -> None:
-        rows += (_TARGETS.take(digit, axis=0) - rows) >> _RATES[level]
-        np.put(self.whole[level], node, rows.view(_ROW).ravel())
+        if self.steps % ROUND == 0 or self.steps in (1, 2, 4, 8):
+            self.joint += np.bincount(np.concatenate(self.held), minlength=512).reshape(self.joint.shape)
+            self.missed += np.bincount(np.concatenate(self.misses), minlength=_IDS + 1)
+            self.held, self.misses = [], []
+            self.joint -= (self.joint >> 1) * (self.joint.sum(axis=-1, keepdims=True) > _FULL)
+            if self.missed.sum() > _FULL_IDS:
+                self.missed -= self.missed >> 1
+            self._shares()
+            self._missed_shares()
 
 
 class _Coder:
@@ -108,16 +126,14 @@ class _Coder:
         self.low, self.range = np.zeros(lanes, _U), np.full(lanes, (1 << 64) - 1, _U)
 
     def narrow(self, on: np.ndarray, part: np.ndarray, below: np.ndarray, own: np.ndarray) -> None:
-        np.put(self.low, on, self.low.take(on) + part * below)
-        np.put(self.range, on, part * own)
+        self.low[on] += part * below.view(_U)
+        self.range[on] = part * own.view(_U)
 
     def due(self):
         """Lanes that put out 16 bits, again and again until none is due."""
-        while True:
-            on = np.flatnonzero(self.range < _LEAST)
-            if not len(on):
-                return
-            low, size = self.low.take(on), self.range.take(on)
+        on = np.flatnonzero(self.range < _LEAST)
+        while len(on):
+            low, size = self.low[on], self.range[on]
             split = ((low ^ (low + size - _U(1))) >> _TOP) != 0
             rest = low & _LOW
             if split.any():
@@ -125,144 +141,132 @@ class _Coder:
             if not size.all():  # only what wasn't written by encode() gets here
                 raise ValueError("a block is damaged")
             yield on, low >> _TOP
-            np.put(self.low, on, rest << _U(16))
-            np.put(self.range, on, size << _U(16))
-
-
-def _part(rows: np.ndarray, digit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where a digit's share begins, and its size."""
-    at = np.arange(0, 16 * len(digit), 16) + digit
-    flat = rows.ravel()
-    below = flat.take(at).astype(np.int64)
-    upto = flat.take(at + 1, mode="clip").astype(np.int64)
-    upto[digit == 15] = 1 << _SHARE
-    return below.view(_U), (upto - below).view(_U)
-
-
-def _encode_group(blocks: list[np.ndarray]) -> list[bytes]:
-    lanes, steps = len(blocks), len(blocks[0])
-    models, coder = _Models(lanes), _Coder(lanes)
-    ids = np.zeros((steps, lanes), np.int64)
-    for k, b in enumerate(blocks):
-        ids[: len(b), k] = b
-    short = len(blocks[-1])  # all but the last have the same length
-    width = steps * 3 // 2 + 64
-    out, used = np.zeros(lanes * width, np.uint16), np.arange(lanes) * width
+            size <<= _U(16)
+            self.low[on], self.range[on] = rest << _U(16), size
+            on = on[size < _LEAST]
 
-    def settle() -> None:
-        for on, unit in coder.due():
-            at = used.take(on)
-            np.put(out, at, unit.astype(np.uint16))
-            np.put(used, on, at + 1)
 
-    one, two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+def _lanes(n: int) -> tuple[int, int, int]:
+    """Lanes, steps, and lanes that have an id in the last step."""
+    lanes = max(1, min(LANES, n // LEAST))
+    steps = -(-n // lanes)
+    return lanes, steps, n - lanes * (steps - 1)
+
+
+def _to_steps(ids: np.ndarray) -> np.ndarray:
+    """Ids by step and lane; the first lanes are one longer than the others where they don't come out even."""
+    lanes, steps, full = _lanes(len(ids))
+    out = np.zeros((lanes, steps), np.int64)
+    out[:full] = ids[: full * steps].reshape(full, steps)
+    out[full:, : steps - 1] = ids[full * steps :].reshape(lanes - full, steps - 1)
+    return np.ascontiguousarray(out.T)
+
+
+def _encode_block(ids: np.ndarray) -> bytes:
+    lanes, steps, full = _lanes(len(ids))
+    models, coder, rows = _Models(), _Coder(lanes), _to_steps(ids)
+    width = 3 * steps + 8
+    out, used = np.zeros(lanes * width, np.uint16), np.arange(lanes) * width
+    last = before = np.zeros(lanes, np.int64)
     for t in range(steps):
-        n = lanes if t < short else lanes - 1
-        x = ids[t, :n]
-        odds = models.predict(one[:n], two[:n])
-        order = np.where((odds[3] > odds[2]) & (models.say[1] == x), 2, (odds[2] > odds[1]) & (models.say[0] == x))
-        at = order * n + models.lane[:n]
-        below = odds.take(at)
-        part = coder.range[:n] // odds[3].view(_U)
-        coder.low[:n] += part * below.view(_U)
-        coder.range[:n] = part * (odds.take(at + n) - below).view(_U)
-        on = np.flatnonzero(order == 0)
-        node, left = on, x.take(on)
-        for level in range(4):
-            digit = (left >> (12 - 4 * level)) & 15
-            rows = models.borders(level, node)
-            below, own = _part(rows, digit)
-            coder.narrow(on, coder.range.take(on) >> _U(_SHARE), below, own)
-            models.learn_digit(level, node, rows, digit)
-            node = node * 16 + digit
-            if level == 1:
-                settle()
-        settle()
-        models.learn(x, order)
-        two[:n] = one[:n]
-        one[:n] = x
+        x = rows[t]
+        if t == steps - 1:
+            x, last, before = x[:full], last[:full], before[:full]
+        place = models.predict(last, before) + models.outcome(x)
+        on = slice(0, len(x))
+        part = coder.range[on] >> _BITS
+        coder.low[on] += part * models.below[place].view(_U)
+        coder.range[on] = part * models.share[place].view(_U)
+        on = np.flatnonzero((place & 3) == 0)
+        missed = x[on]
+        own = models.own[missed]
+        sign = np.where(own > 0, missed, _IDS)
+        coder.narrow(on, coder.range[on] >> _BITS, models.under[sign], models.own[sign])
+        on = on[own == 0]
+        if len(on):
+            new = x[on]
+            coder.narrow(on, coder.range[on] >> _BITS, new, np.ones(len(on), np.int64))
+        for on, unit in coder.due():
+            at = used[on]
+            out[at] = unit
+            used[on] = at + 1
+        models.learn(x, place, missed)
+        last, before = x, last
     for _ in range(4):
         out[used] = coder.low >> _TOP
         used += 1
         coder.low <<= _U(16)
-    return [out[k * width : used[k]].astype("<u2").tobytes() for k in range(lanes)]
-
-
-def _decode_group(coded: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
-    lanes, steps, short = len(coded), int(sizes[0]), int(sizes[-1])
-    models, coder = _Models(lanes), _Coder(lanes)
-    width = max(len(c) for c in coded) // 2 + 8
-    units = np.zeros((lanes, width), np.uint16)
-    for k, c in enumerate(coded):
-        units[k, : len(c) // 2] = np.frombuffer(c, "<u2")
-    units = units.ravel()
-    at = np.arange(lanes) * width
-    code = np.zeros(lanes, _U)
+    sizes = used - np.arange(lanes) * width
+    return sizes.astype("<u4").tobytes() + b"".join([out[k * width : k * width + n].astype("<u2").tobytes() for k, n in enumerate(sizes.tolist())])
+
+
+def _decode_block(raw: bytes, n: int) -> np.ndarray:
+    lanes, steps, full = _lanes(n)
+    models, coder = _Models(), _Coder(lanes)
+    sizes = np.frombuffer(raw, "<u4", lanes).astype(np.int64)
+    units = np.frombuffer(raw, "<u2", offset=4 * lanes).astype(_U)
+    if not len(units) or sizes.sum() != len(units):
+        raise ValueError("a block is damaged")
+    at, code = np.cumsum(sizes) - sizes, np.zeros(lanes, _U)
     for _ in range(4):
-        code = (code << _U(16)) | units.take(at).astype(_U)
+        code = (code << _U(16)) | units.take(at, mode="clip")
         at += 1
-    ids = np.zeros((steps, lanes), np.uint16)
+    rows = np.zeros((steps, lanes), np.uint16)
+    last = before = np.zeros(lanes, np.int64)
 
-    def settle() -> None:
-        for on, _ in coder.due():
-            place = at.take(on)
-            np.put(code, on, (code.take(on) << _U(16)) | units.take(place, mode="clip").astype(_U))
-            np.put(at, on, place + 1)
+    def value(on, part: np.ndarray) -> np.ndarray:
+        return np.minimum((code[on] - coder.low[on]) // part, _U((1 << _SHARE) - 1)).view(np.int64)
 
-    one, two = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     for t in range(steps):
-        n = lanes if t < short else lanes - 1
-        odds = models.predict(one[:n], two[:n])
-        part = np.maximum(coder.range[:n] // odds[3].view(_U), _U(1))
-        value = ((code[:n] - coder.low[:n]) // part).view(np.int64)
-        order = (value >= odds[1]).astype(np.int64) + (value >= odds[2])
-        place = order * n + models.lane[:n]
-        below = odds.take(place)
-        coder.low[:n] += part * below.view(_U)
-        coder.range[:n] = part * (odds.take(place + n) - below).view(_U)
-        x = np.where(order == 2, models.say[1], models.say[0])
-        on = np.flatnonzero(order == 0)
-        node, got = on, np.zeros(len(on), np.int64)
-        for level in range(4):
-            rows = models.borders(level, node)
-            part = np.maximum(coder.range.take(on) >> _U(_SHARE), _U(1))
-            value = np.minimum((code.take(on) - coder.low.take(on)) // part, _U((1 << _SHARE) - 1)).astype(np.int16)
-            digit = np.bitwise_count(np.packbits(rows <= value[:, None]).view(np.uint16)).astype(np.int64) - 1
-            below, own = _part(rows, digit)
-            coder.narrow(on, part, below, own)
-            models.learn_digit(level, node, rows, digit)
-            node, got = node * 16 + digit, got * 16 + digit
-            if level == 1:
-                settle()
-        x[on] = got
-        settle()
-        models.learn(x, order)
-        ids[t, :n] = x
-        two[:n] = one[:n]
-        one[:n] = x
-    return [np.ascontiguousarray(ids[: sizes[k], k]) for k in range(lanes)]
-
-
-def encode(ids: np.ndarray) -> bytes:
-    """ids below 2 ** 16 as: their number and the block size, the length and checksum of each block, the blocks."""
-    size = block_size(len(ids))
-    blocks = [ids[k : k + size] for k in range(0, len(ids), size)]
-    coded = [c for k in range(0, len(blocks), LANES) for c in _encode_group(blocks[k : k + LANES])]
-    head = [np.array([len(ids), size], "<u8"), np.array([len(c) for c in coded], "<u4"), np.array([zlib.crc32(b.astype("<u2").tobytes()) for b in blocks], "<u4")]
-    return b"".join([h.tobytes() for h in head] + coded)
+        if t == steps - 1:
+            last, before = last[:full], before[:full]
+        place = models.predict(last, before)
+        on = slice(0, len(last))
+        part = np.maximum(coder.range[on] >> _BITS, _U(1))
+        above = code[on] - coder.low[on]
+        place += _flag(above >= part * models.below[place + 1].view(_U)) + (above >= part * models.below[place + 2].view(_U)) + (above >= part * models.below[place + 3].view(_U))
+        coder.low[on] += part * models.below[place].view(_U)
+        coder.range[on] = part * models.share[place].view(_U)
+        held = place & 3
+        x = _either(held >> 1, _either(held & 1, models.says[0], models.says[2]), models.says[1])
+        on = np.flatnonzero(held == 0)
+        part = np.maximum(coder.range[on] >> _BITS, _U(1))
+        missed = models.found.take(value(on, part))
+        coder.narrow(on, part, models.under[missed], models.own[missed])
+        new = np.flatnonzero(missed == _IDS)
+        if len(new):
+            some = on[new]
+            part = np.maximum(coder.range[some] >> _BITS, _U(1))
+            missed[new] = value(some, part)
+            coder.narrow(some, part, missed[new], np.ones(len(new), np.int64))
+        x[on] = missed
+        for on, _ in coder.due():
+            spot = at[on]
+            code[on] = (code[on] << _U(16)) | units.take(spot, mode="clip")
+            at[on] = spot + 1
+        models.learn(x, place, missed)
+        rows[t, : len(x)] = x
+        last, before = x, last
+    by_lane = rows.T
+    return np.concatenate([by_lane[:full].ravel(), by_lane[full:, : steps - 1].ravel()])
+
+
+def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
+    """ids below 2 ** 16 as: their number and a block's, each block's bytes and checksum, the blocks."""
+    parts = [ids[k : k + block] for k in range(0, len(ids), block)]
+    coded = [_encode_block(p) for p in parts]
+    sums = [zlib.crc32(p.astype("<u2").tobytes()) for p in parts]
+    return b"".join([np.array([len(ids), block], "<u8").tobytes(), np.array([len(c) for c in coded], "<u4").tobytes(), np.array(sums, "<u4").tobytes(), *coded])
 
 
 def decode(raw: bytes) -> np.ndarray:
-    n, size = (int(x) for x in np.frombuffer(raw, "<u8", 2))
-    count = -(-n // size)
-    lengths, sums = np.frombuffer(raw, "<u4", count, 16), np.frombuffer(raw, "<u4", count, 16 + 4 * count)
-    ends = 16 + 8 * count + np.cumsum(lengths.astype(np.int64))
-    sizes = np.minimum(size, n - size * np.arange(count))
-    out: list[np.ndarray] = [np.zeros(0, np.uint16)]
-    for k in range(0, count, LANES):
-        e = min(k + LANES, count)
-        out += _decode_group([raw[ends[i] - lengths[i] : ends[i]] for i in range(k, e)], sizes[k:e])
-    for i, b in enumerate(out[1:]):
-        if zlib.crc32(b.astype("<u2").tobytes()) != sums[i]:
-            raise ValueError(f"block {i} is damaged")
+    n, block = (int(x) for x in np.frombuffer(raw, "<u8", 2))
+    count = -(-n // block)
+    lengths, sums = np.frombuffer(raw, "<u4", count, 16).tolist(), np.frombuffer(raw, "<u4", count, 16 + 4 * count).tolist()
+    at, out = 16 + 8 * count, [np.zeros(0, np.uint16)]
+    for k in range(count):
+        out.append(_decode_block(raw[at : at + lengths[k]], min(block, n - k * block)))
+        at += lengths[k]
+        if zlib.crc32(out[-1].astype("<u2").tobytes()) != sums[k]:
+            raise ValueError(f"block {k} is damaged")
     return np.concatenate(out)

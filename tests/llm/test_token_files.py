@@ -8,7 +8,7 @@ from linkweave.llm.token_files import read, write
 from linkweave.llm.tokens import CHUNKS, Encoder, vocabulary
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 511, 512, 513, 40_000])
+@pytest.mark.parametrize("n", [0, 1, 2, 511, 512, 513, 40_000, 131_071])
 def test_round_trip(n):
     r = np.random.default_rng(n)
     for ids in (r.integers(0, 50257, n), r.zipf(1.3, n) % 50257, np.full(n, 65535), np.tile(np.arange(7), n // 7 + 1)[:n]):
@@ -16,6 +16,33 @@ def test_round_trip(n):
         assert np.array_equal(decode(encode(ids)), ids)
 
 
+@pytest.mark.parametrize("lanes", [3, 50])
+def test_blocks_stand_alone(monkeypatch, lanes):
+    """Any cut into blocks and lanes gives the ids back, and a block doesn't depend on those before it."""
+    from linkweave.llm import range_coder
+
+    monkeypatch.setattr(range_coder, "LANES", lanes)
+    ids = (np.random.default_rng(5).zipf(1.2, 10_007) % 300).astype(np.uint16)
+    for block in (1, 1000, 1001, 20_000):
+        some = ids[: 40 if block == 1 else len(ids)]
+        assert np.array_equal(decode(encode(some, block)), some)
+    other = ids.copy()
+    other[:1000] = 9
+    assert encode(ids, 1000)[-200:] == encode(other, 1000)[-200:]
+
+
+def test_models_adapt(monkeypatch):
+    """Ids that only the two before tell, and ids of a narrow range, take little room."""
+    monkeypatch.setattr("linkweave.llm.range_coder.LANES", 4)
+    r = np.random.default_rng(8)
+    one, ids = r.integers(0, 40, (40, 40)), [1, 2]
+    for _ in range(40_000):
+        ids.append(int(one[ids[-2], ids[-1]]) if r.random() < 0.95 else int(r.integers(0, 40)))
+    assert len(encode(np.array(ids, np.uint16))) * 8 < 1.3 * len(ids)
+    narrow = r.integers(30_000, 30_016, 40_000).astype(np.uint16)
+    assert len(encode(narrow)) * 8 < 4.6 * len(narrow)
+
+
 def test_what_repeats_gets_short():
     ids = np.random.default_rng(0).integers(0, 50257, 60).astype(np.uint16)
     assert len(encode(np.tile(ids, 400))) < 60 * 400 * 2 / 6
