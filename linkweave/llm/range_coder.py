@@ -156,7 +156,7 @@ def _lanes(n: int) -> tuple[int, int, int]:
 def _to_steps(ids: np.ndarray) -> np.ndarray:
     """Ids by step and lane; the first lanes are one longer than the others where they don't come out even."""
     lanes, steps, full = _lanes(len(ids))
-    out = np.zeros((lanes, steps), np.int64)
+    out = np.zeros((lanes, steps), np.uint16)
     out[:full] = ids[: full * steps].reshape(full, steps)
     out[full:, : steps - 1] = ids[full * steps :].reshape(lanes - full, steps - 1)
     return np.ascontiguousarray(out.T)
@@ -169,7 +169,7 @@ def _encode_block(ids: np.ndarray) -> bytes:
     out, used = np.zeros(lanes * width, np.uint16), np.arange(lanes) * width
     last = before = np.zeros(lanes, np.int64)
     for t in range(steps):
-        x = rows[t]
+        x = rows[t].astype(np.int64)
         if t == steps - 1:
             x, last, before = x[:full], last[:full], before[:full]
         place = models.predict(last, before) + models.outcome(x)

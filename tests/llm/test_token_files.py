@@ -68,6 +68,18 @@ def test_chunks_give_the_tokenizers_ids(name, texts, monkeypatch):
             assert [ids[b - a : b].tolist() for a, b in zip(sizes, ends)] == [x.ids for x in e.tokenizer.encode_batch(some, add_special_tokens=False)]
 
 
+@pytest.mark.parametrize("name", list(CHUNKS))
+def test_cuts_on_bytes_equal_the_patterns(name):
+    r, e = np.random.default_rng(4), Encoder(name)
+    signs = list("ab Z  \n\t.,'-1%_") + ["é", "×", "÷", "ß", "\xa0", "\x85", "\u2003", "\u2014", "\u3000", "語", "😀", "\x1c", "longerword", "averyverylongwordindeed"]
+    texts = ["".join(r.choice(signs, r.integers(0, 40))) for _ in range(1500)]
+    raw = [t.encode().lower() if e.lower else t.encode() for t in texts]
+    joined = b"\xff".join([*raw, b""])
+    ends = np.cumsum([len(x) + 1 for x in raw]) - 1
+    start, end = e._starts(np.frombuffer(joined, np.uint8), raw, ends)
+    assert [joined[a:b].decode() for a, b in zip(start, end)] == [c for x in raw for c in e.find(x.decode())]
+
+
 @pytest.mark.parametrize("most", [1 << 20, 700])
 def test_files_hold_all_documents_in_order(spark, docs, texts, most):
     from tokenizers import Tokenizer
