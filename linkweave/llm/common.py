@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _local_dir: str | None = None
-_staged: list[tuple[SparkSession, str]] = []
+_staged: list[tuple[SparkSession, str, str | None]] = []
 
 
 def ascii_lower(c: Column) -> Column:
@@ -45,8 +45,10 @@ def with_checkpoints(spark: SparkSession) -> None:
 @atexit.register
 def _drop_staged() -> None:
     while _staged:
-        spark, path = _staged.pop()
+        spark, path, table = _staged.pop()
         try:
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
             _delete(spark, path)
         except Exception:  # the session has ended: the folder goes with it
             continue
@@ -66,10 +68,19 @@ def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    _staged.append((spark, path))
+    _staged.append((spark, path, None))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_buckets(df: DataFrame, name: str, column: str, n: int) -> DataFrame:
+    """stage(), but as a table of n buckets by a column: what meets it by that column is shuffled, the table isn't."""
+    spark, table = df.sparkSession, f"linkweave_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    _staged.append((spark, path, table))
+    df.write.option("compression", "none").bucketBy(n, column).format("parquet").option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def drop_staged(df: DataFrame) -> None:
     """Deletes what stage() wrote for df, once nothing reads it any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
@@ -234,12 +245,28 @@ def text_key(raw: bytes) -> int:
     return key - (1 << 64) if key >> 63 else key
 
 
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
 def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The 64-bit keys of all words of the texts, one text after another, and how many each text has.
 
-    bytes.split() cuts at exactly the six ASCII space characters.
+    Words are cut at the six ASCII space characters. The key of up to 16 bytes mixes the first 8, the last 8 and their
+    number, all words at once; that of longer words is a hash of their bytes.
     """
-    words = [t.split() for t in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    flat = (w for text in words for w in text)
-    return np.fromiter(map(xxhash.xxh64_intdigest, flat), np.uint64, int(sizes.sum())), sizes
+    joined = b"\n".join([b"", *texts, b" " * 16])
+    buf = np.frombuffer(joined, np.uint8)
+    space = _SPACE[buf]
+    edges = np.flatnonzero(space[1:] != space[:-1]) + 1
+    start, end = edges[::2], edges[1::2]
+    size = end - start
+    eight = np.ndarray((len(joined) - 7,), "<u8", joined, 0, (1,))
+    last = np.zeros(len(start), np.uint64)
+    wide = np.flatnonzero(size > 8)
+    last[wide] = eight[end[wide] - 8]
+    keys = mix(mix(eight[start] & _LOW_BYTES[np.minimum(size, 8)], last), size.astype(np.uint64))
+    for k in np.flatnonzero(size > 16).tolist():
+        keys[k] = xxhash.xxh64_intdigest(joined[start[k] : end[k]])
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return keys, np.diff(np.searchsorted(start, ends), prepend=0)

@@ -14,7 +14,7 @@ takes an arc, or failure arcs and then an arc, its log10 weight is added, and th
 longest end of them that training has) is carried on. Of order 2, states are single tokens.
 
 The automaton is as large as the corpus, so it is never in one place: blocks of documents fetch the arcs that their own
-texts use. A block sends its distinct 1- and 2-grams once with its training counts, and gets the totals back in the same
+texts use. Texts are cut into numbered tokens once, in a table of blocks that later steps read in place. A block sends its distinct 1- and 2-grams once with its training counts, and gets the totals back in the same
 order, and whether other blocks have them. Then it does so for 3-grams, but for those with a 2-gram that no other block
 has: their totals are its own. A last exchange counts each state's followers (each n-gram counted by one block alone);
 states that are a block's own, or seen once, need none.
@@ -32,12 +32,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEYED_SCHEMA, buckets, decode_counts, decode_keys, encode_counts, encode_keys, keyed_rows, mix, stage, to_blocks, unpack, word_keys
+from .common import KEYED_SCHEMA, buckets, decode_counts, decode_keys, drop_staged, encode_counts, encode_keys, keyed_rows, mix, stage, stage_buckets, to_blocks, unpack, word_keys
 
 FOLDS, ADD, ORDER = 10, 0.1, 3
-END = np.uint64(0x2545F4914F6CDD1D)
+END = np.uint64(0x2545F4914F6CDD1C)  # keys of tokens are even
 #: Larger blocks send fewer n-grams twice.
 LM_BLOCK_BYTES = 8 << 20
+#: Buckets of the table of blocks, at most; a block is a unit of work in any of them.
+BUCKETS = 20_000
 
 
 def held_out(doc_id: int | None, folds: int = FOLDS) -> bool:
@@ -45,43 +47,77 @@ def held_out(doc_id: int | None, folds: int = FOLDS) -> bool:
 
 
 class _Tokens:
-    """A block's tokens as numbers of its distinct 1- and 2-grams, whose keys ascend."""
-
-    def __init__(self, payload: bytes, folds: int):
-        self.ids, texts = unpack(payload)
+    """A block's tokens as numbers of its distinct 1- and 2-grams, whose keys ascend (even and odd ones).
+
+    cut() does so for texts, once; to_bytes() keeps the numbers, from which all else follows without sorting again.
+    """
+
+    def __init__(self, ids: list, sizes: np.ndarray, word: np.ndarray, pair: np.ndarray, grams: np.ndarray, folds: int):
+        self.ids, self.sizes, self.word, self.pair, self.grams = ids, sizes, word, pair, grams
+        self.ends = np.cumsum(sizes) - 1
+        self.held = np.array([held_out(i, folds) for i in ids], bool)
+        self.train = np.repeat(~self.held, sizes)
+        #: The token before; a text's first follows the end token.
+        self.before = np.concatenate([[np.searchsorted(grams, END)], word[:-1]]) if len(word) else word
+        kept = self.train.astype(np.float64)
+        self.counts = (np.bincount(word, kept, len(grams)) + np.bincount(pair, kept, len(grams))).astype(np.int64)
+
+    @classmethod
+    def cut(cls, payload: bytes, folds: int) -> _Tokens:
+        ids, texts = unpack(payload)
         words, sizes = word_keys([t.lower() for t in texts])
-        self.sizes = sizes + 1
-        self.ends = np.cumsum(self.sizes) - 1
-        tokens = np.full(len(words) + len(sizes), END, np.uint64)
+        sizes = sizes + 1
+        tokens = np.full(int(sizes.sum()), END, np.uint64)
         inside = np.ones(len(tokens), bool)
-        inside[self.ends] = False
-        tokens[inside] = words
-        before = np.concatenate([[END], tokens[:-1]]).astype(np.uint64)
-        self.held = np.array([held_out(i, folds) for i in self.ids], bool)
-        train = np.repeat(~self.held, self.sizes)
-        one, two = np.uint64(1), mix(before, tokens) | np.uint64(1)
-        grams, at = np.unique(np.concatenate([tokens & ~one, two]), return_inverse=True)
-        self.grams, self.word, self.pair = grams, at[: len(tokens)], at[len(tokens) :]
-        self.state = np.concatenate([[np.searchsorted(grams, END & ~one)], self.word[:-1]]) if len(tokens) else self.word
-        weight = np.concatenate([train, train]).astype(np.float64)
-        self.counts = np.bincount(at, weight, len(grams)).astype(np.int64)
-        self.tokens, self.train = tokens, train
+        inside[np.cumsum(sizes) - 1] = False
+        tokens[inside] = words & ~np.uint64(1)
+        grams, at = np.unique(np.concatenate([tokens, cls._pairs(tokens)]), return_inverse=True)
+        return cls(ids, sizes, at[: len(tokens)], at[len(tokens) :], grams, folds)
+
+    @staticmethod
+    def _pairs(tokens: np.ndarray) -> np.ndarray:
+        return mix(np.concatenate([[END], tokens[:-1]]).astype(np.uint64), tokens) | np.uint64(1)
+
+    def to_bytes(self) -> bytes:
+        words = np.unique(self.word)
+        place = np.zeros(len(self.grams), np.int64)
+        place[words] = np.arange(len(words))
+        known = np.array([i is not None for i in self.ids], np.uint8)
+        ids = np.array([0 if i is None else i for i in self.ids], "<i8")
+        parts = [known.tobytes(), ids.tobytes(), self.sizes.astype("<i8").tobytes(), encode_keys(self.grams[words]), encode_counts(place[self.word]), encode_counts(self.pair)]
+        return np.array([len(p) for p in parts], "<i8").tobytes() + b"".join(parts)
+
+    @classmethod
+    def read(cls, raw: bytes, folds: int) -> _Tokens:
+        lengths = np.frombuffer(raw, "<i8", 6)
+        ends = (48 + np.cumsum(lengths)).tolist()
+        known, ids, sizes, keys, place, pair = (raw[e - n : e] for e, n in zip(ends, lengths.tolist()))
+        keys, place, pair = decode_keys(keys), decode_counts(place), decode_counts(pair)
+        tokens = keys[place]
+        grams = np.zeros(int(pair.max()) + 1 + len(keys) if len(pair) else 0, np.uint64)
+        grams[pair] = cls._pairs(tokens)
+        is_word = np.ones(len(grams), bool)
+        is_word[pair] = False
+        at = np.flatnonzero(is_word)[: len(keys)]  # what isn't a pair's number is a word's, in order
+        grams[at] = keys
+        names = [v if k else None for v, k in zip(np.frombuffer(ids, "<i8").tolist(), known)]
+        return cls(names, np.frombuffer(sizes, "<i8"), at[place], pair, grams[: len(np.unique(pair)) + len(keys)], folds)
 
 
 class _Triples:
     """A block's distinct 3-grams, whose keys ascend. The first token of a text ends none."""
 
     def __init__(self, t: _Tokens, shared: np.ndarray):
-        inside = np.ones(len(t.tokens), bool)
+        inside = np.ones(len(t.word), bool)
         inside[t.ends + 1 - t.sizes] = False
         self.at = np.flatnonzero(inside)
-        self.grams, first, self.triple = np.unique(mix(t.grams[t.pair[self.at - 1]], t.tokens[self.at]) | np.uint64(1), return_index=True, return_inverse=True)
+        context, pair = t.pair[self.at - 1], t.pair[self.at]
+        self.grams, first, self.triple = np.unique(mix(t.grams[context], t.grams[t.word[self.at]]) | np.uint64(1), return_index=True, return_inverse=True)
         self.counts = np.bincount(self.triple, t.train[self.at].astype(np.float64), len(self.grams)).astype(np.int64)
-        #: The 2-gram before each place, and before each 3-gram.
-        self.context = t.pair[self.at - 1]
-        self.before = self.context[first]
+        #: The 2-gram before each 3-gram.
+        self.before = context[first]
         #: Whether other blocks may have the 3-gram.
-        self.sent = shared[self.before] & shared[t.pair[self.at[first]]]
+        self.sent = shared[self.before] & shared[pair[first]]
 
     def totals(self, answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         total, owned = self.counts.copy(), np.ones(len(self.grams), bool)
@@ -143,8 +179,9 @@ class _Known:
         self.total, owned, shared = _gather(answers[answers["kind"] == 0])
         arcs, first = np.unique(t.pair, return_index=True)
         mine = owned[arcs] & (self.total[arcs] > 0)
-        self.followers = np.bincount(t.state[first[mine]], minlength=len(t.grams))
-        states = t.state
+        self.followers = np.bincount(t.before[first[mine]], minlength=len(t.grams))
+        states = t.before
+        self.triples = self.total3 = None
         if order > 2:
             self.triples = _Triples(t, shared)
             self.total3, owned = self.triples.totals(answers[answers["kind"] == 2])
@@ -160,50 +197,116 @@ class _Known:
         return out
 
 
+class _Automaton:
+    """The part of the automaton that a block's texts pass through.
+
+    A state is the number of a 1- or 2-gram (known: whether training has it), or ROOT. arc holds the log10 weight of each
+    n-gram's arc, from the state of all its tokens but the last; nan where there is none. fail holds the log10 weight of
+    each state's failure arc, back the state that it leads to.
+    """
+
+    ROOT = -1
+
+    def __init__(self, t: _Tokens, known: _Known, followers: np.ndarray, n: int, v: int, discounts: tuple[float, float]):
+        self.known, self.triples = known.total > 0, known.triples
+        seen = np.maximum(known.total, 1)
+        left = followers / seen
+        self.fail, self.back = np.zeros(len(t.grams)), np.full(len(t.grams), self.ROOT)
+        words, pairs = np.unique(t.word), np.unique(t.pair, return_index=True)
+        last = t.word[pairs[1]]  # the last token of each 2-gram
+        self.back[pairs[0]] = last
+        states = np.zeros(len(t.grams), np.int64)
+        states[pairs[0]] = t.before[pairs[1]]
+        with np.errstate(divide="ignore"):
+            self.fail[words] = np.log10(discounts[0] * left[words])
+            self.fail[pairs[0]] = np.log10(discounts[1] * left[pairs[0]])
+        self.arc = np.full(len(t.grams), np.nan)
+        self.arc[words] = np.log10((known.total[words] + ADD) / (n + ADD * (v + 1)))
+        two = pairs[0][self.known[pairs[0]]]
+        self.arc[two] = self._arcs(known.total[two], seen[states[two]], discounts[0], self.fail[states[two]] + self.arc[self.back[two]])
+        self.arc3 = np.zeros(0)
+        if self.triples is not None:
+            self.arc3 = np.full(len(known.total3), np.nan)
+            ends = np.zeros(len(known.total3), np.int64)  # the 2-gram that ends each 3-gram
+            ends[self.triples.triple] = t.pair[self.triples.at]
+            three = np.flatnonzero(known.total3 > 0)
+            state = self.triples.before[three]
+            self.arc3[three] = self._arcs(known.total3[three], seen[state], discounts[1], self.fail[state] + self.arc[ends[three]])
+
+    @staticmethod
+    def _arcs(count: np.ndarray, seen: np.ndarray, discount: float, backed: np.ndarray) -> np.ndarray:
+        return np.log10((count - discount) / seen + 10**backed)
+
+    def traverse(self, t: _Tokens) -> np.ndarray:
+        """The log10 weight of each token, from left to right: its arc, or failure arcs and then an arc."""
+        # The state carried to each token: that of the two before if training has them, else that of the one before.
+        first = t.ends + 1 - t.sizes
+        state = t.before
+        if self.triples is not None:
+            state = np.concatenate([[0], t.pair[:-1]]) if len(t.pair) else t.pair
+            state[first] = t.before[first]
+            state = np.where(self.known[state], state, t.before)
+        weight, at = np.zeros(len(state)), np.arange(len(state))
+        if self.triples is not None:
+            arc = np.full(len(state), np.nan)
+            arc[self.triples.at] = self.arc3[self.triples.triple]
+            found = ~np.isnan(arc)
+            weight[found] = arc[found]
+            at = np.flatnonzero(~found)
+            two = at[self.back[state[at]] != self.ROOT]
+            weight[two] += self.fail[state[two]]
+            state[two] = self.back[state[two]]
+        # Now in states of one token: known or not, they lead to the root.
+        arc = self.arc[t.pair[at]]
+        found = ~np.isnan(arc)
+        weight[at[found]] += arc[found]
+        at = at[~found]
+        some = at[self.known[state[at]]]
+        weight[some] += self.fail[state[some]]
+        weight[at] += self.arc[t.word[at]]
+        return weight
+
+
 def score(docs: DataFrame, folds: int = FOLDS, block_bytes: int = LM_BLOCK_BYTES, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; order: 2 or 3."""
     blocks = to_blocks(docs, "lm", block_bytes)
-    words = blocks.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
+    words, many = blocks.agg(F.coalesce(F.sum("words"), F.lit(0)), F.count("*")).first()
     parts = buckets(words)
 
-    def gram_keys(batches):
+    def numbered(batches):
         for batch in batches:
             for blk, payload in batch[["blk", "payload"]].itertuples(index=False):
-                t = _Tokens(payload, folds)
+                yield pd.DataFrame({"blk": [blk], "tokens": [_Tokens.cut(payload, folds).to_bytes()]})
+
+    own = stage_buckets(blocks.select("blk", "payload").mapInPandas(numbered, "blk long, tokens binary"), "lm-tokens", "blk", max(1, min(BUCKETS, many)))
+    drop_staged(blocks)
+
+    def read(left: pd.DataFrame) -> tuple[int, _Tokens]:
+        return int(left["blk"].iloc[0]), _Tokens.read(left["tokens"].iloc[0], folds)
+
+    def gram_keys(batches):
+        for batch in batches:
+            for k in range(len(batch)):
+                blk, t = read(batch.iloc[k : k + 1])
                 yield _sent(blk, t.grams, t.counts, parts)
 
     def triple_keys(left: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        blk, payload = next(left[["blk", "payload"]].itertuples(index=False))
-        t = _Triples(_Tokens(payload, folds), _gather(answers)[2])
+        blk, t = read(left)
+        t = _Triples(t, _gather(answers)[2])
         return _sent(blk, t.grams[t.sent], t.counts[t.sent], parts, t.counts[~t.sent]).astype({"blk": "int64", "r": "int32"})
 
     def follower_keys(left: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        blk, payload = next(left[["blk", "payload"]].itertuples(index=False))
-        t = _Tokens(payload, folds)
+        blk, t = read(left)
         known = _Known(t, answers, order)
         return _sent(blk, t.grams[known.asked], known.followers[known.asked], parts).astype({"blk": "int64", "r": "int32"})
 
     def traverse(left: pd.DataFrame, answers: pd.DataFrame, n: int, v: int, discounts: tuple[float, float]) -> pd.DataFrame:
-        t = _Tokens(left["payload"].iloc[0], folds)
+        _, t = read(left)
         known = _Known(t, answers, order)
-        total, followers = known.total, known.all_followers(answers)
-
-        def backed(count: np.ndarray, state: np.ndarray, discount: float, shorter: np.ndarray) -> np.ndarray:
-            seen = total[state]  # each token but an end has one follower, and each training text starts after an end
-            some = np.maximum(seen, 1)
-            return np.where(seen > 0, np.maximum(count - discount, 0) / some + discount * followers[state] / some * shorter, shorter)
-
-        root = (total[t.word] + ADD) / (n + ADD * (v + 1))
-        weight = backed(total[t.pair], t.state, discounts[0], root)
-        if order > 2:
-            three = known.triples
-            weight[three.at] = backed(known.total3[three.triple], three.context, discounts[1], weight[three.at])
-        starts = t.ends + 1 - t.sizes
-        sums = [np.add.reduceat(x, starts) for x in ((total[t.word] > 0).astype(np.int64), np.log10(root), np.log10(weight))]
+        automaton = _Automaton(t, known, known.all_followers(answers), n, v, discounts)
+        sums = [np.add.reduceat(x, t.ends + 1 - t.sizes) for x in (automaton.known[t.word].astype(np.int64), automaton.arc[t.word], automaton.traverse(t))]
         return pd.DataFrame({"doc_id": pd.array(t.ids, "Int64"), "held_out": t.held, "n_tokens": t.sizes, "n_known": sums[0], "train_tokens": n, "base_score": sums[1], "score": sums[2]})
 
-    own = blocks.select("blk", "payload")
-
     def each_block(answers: DataFrame, use, schema: str) -> DataFrame:
         return own.groupBy("blk").cogroup(answers.groupBy("blk")).applyInPandas(use, schema)
 
