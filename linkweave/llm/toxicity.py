@@ -1,17 +1,22 @@
 """Toxicity by weak supervision.
 
 Voters are lexicon entries (words) and patterns (beginnings of words): a short general list, and those that a bounded
-sample of labelled rows suggests. A generative label model, fitted by expectation-maximisation, estimates for each voter
-how often it fires on either class (its accuracy), and how much it repeats other voters within a class; repeating voters
-share their weight. Its posteriors label the sample, and a linear classifier is trained on them. Only the classifier
-scores documents: the voters that fire, with the logarithm of how often, are its features.
-
-The sample: labelled rows outside the held-out fold, the SAMPLE of them with the smallest hashes of their doc_id.
+sample of labelled rows suggests. A generative label model has, for each class, the rate at which each voter fires (its
+accuracy) and the rates at which pairs of voters fire together (their correlation); the pairs form the tree that holds
+most of the voters' mutual information within the classes, so a voter that repeats another adds nothing. Labels of the
+sample choose voters and start the model, which tells the classes apart; from then on it is fitted by
+expectation-maximisation to the votes alone, and its posteriors come from votes, not from a row's label. A linear
+classifier is trained on the posteriors, and only it scores documents: the voters that fire, with the logarithm of how
+often, are its features.
+
+The sample: labelled rows outside the held-out fold, the SAMPLE of them with the smallest hashes of their doc_id; where
+rows share doc_ids, at most SAMPLE different rows of votes, by hash, enter the models with how many rows have them.
 Labels, lang, source and doc_id are no inputs of a score.
 
 Edge cases: null and empty texts have no features and get the classifier's bias; without labelled rows the general list
-alone votes, and without any document of the sample the score is a fixed logistic curve of its votes. Repeated rows
-get equal scores; a null doc_id counts as the text "" for the split; labels that contradict each other both count.
+alone votes, and without any document of the sample the score is a fixed logistic curve of its votes; with labels of one
+class alone, posteriors are the labels. Repeated rows get equal scores; a null doc_id counts as the text "" for the
+split, and labels with a null doc_id are of no row; labels that contradict each other both count.
 """
 
 from __future__ import annotations
@@ -28,9 +33,11 @@ from pyspark.sql import functions as F
 
 from .common import doc_rows
 
-FOLDS, SAMPLE, VOTERS, ROUNDS = 5, 20_000, 192, 25
+FOLDS, SAMPLE, VOTERS = 5, 20_000, 400
+#: Rounds of expectation-maximisation after the start, at most.
+ROUNDS = 10
 #: Lengths of the beginnings that patterns look at.
-STEMS = (4, 5, 6)
+STEMS = (3, 4, 5, 6, 7, 8)
 # General insults.
 LEXICON = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -77,43 +84,90 @@ class Votes:
         return out
 
 
-def label_model(votes: np.ndarray, prior: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Posterior probability of the class for each row of 0/1 votes; prior: the first guess, kept as weak evidence.
+class LabelModel:
+    """Two classes of 0/1 votes, each a tree of voters: a voter's rate depends on the class and on whether its parent fires."""
+
+    def __init__(self, voters: int):
+        self.parent = np.full(voters, -1)
+        self.balance = 0.5
+        #: By class: the rate of each voter where its parent doesn't fire, and where it does (for the root both are one).
+        self.rates = np.full((2, 2, voters), 0.5)
+
+    @staticmethod
+    def _rates(votes: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """Rates of voters, rates of pairs, and the weight of a class with one more row of all rows' rates."""
+        total = weight.sum() + 1
+        one = (weight @ votes + votes.mean(axis=0)) / total
+        both = ((votes * weight[:, None]).T @ votes + np.outer(one, one)) / total
+        return one, np.minimum(both, np.minimum(one[:, None], one[None, :])), total
+
+    @staticmethod
+    def _information(one: np.ndarray, both: np.ndarray) -> np.ndarray:
+        a, b, out = one[:, None], one[None, :], np.zeros(both.shape)
+        for p, q in ((both, a * b), (a - both, a * (1 - b)), (b - both, (1 - a) * b), (1 - a - b + both, (1 - a) * (1 - b))):
+            out += np.where(p > 1e-12, p * np.log(np.maximum(p, 1e-12) / np.maximum(q, 1e-12)), 0.0)
+        return out
 
-    A voter that doesn't fire abstains, which says nothing; that none fires is a vote of its own.
-    """
-    votes = np.hstack([votes, ~votes.any(axis=1, keepdims=True)]).astype(np.float64)
-    q = prior.astype(np.float64)
-    evidence = np.log(np.clip(prior, 0.02, 0.98) / (1 - np.clip(prior, 0.02, 0.98)))
+    def fit(self, votes: np.ndarray, q: np.ndarray, times: np.ndarray, tree: bool = True) -> None:
+        """The parameters most likely for rows of votes whose classes have the posteriors q."""
+        known = [self._rates(votes, times * w) for w in (1 - q, q)]
+        if tree:
+            self.parent = _spanning_tree(sum(total * self._information(one, both) for one, both, total in known))
+        self.balance = known[1][2] / (known[0][2] + known[1][2])
+        child = np.arange(len(self.parent))
+        at = np.where(self.parent < 0, child, self.parent)
+        for k, (one, both, _) in enumerate(known):
+            one = np.clip(one, 1e-6, 1 - 1e-6)
+            with_parent = np.where(self.parent < 0, one, both[child, at] / one[at])
+            without = np.where(self.parent < 0, one, (one - both[child, at]) / (1 - one[at]))
+            self.rates[k] = np.clip([without, with_parent], 1e-6, 1 - 1e-6)
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """The probability of class 1 for each row of votes."""
+        above = np.where(self.parent < 0, 0, votes[:, self.parent])
+        logit = np.full(len(votes), np.log(self.balance / (1 - self.balance)))
+        for sign, (without, with_parent) in zip((-1, 1), self.rates):
+            for fires, rate in ((above, with_parent), (1 - above, without)):
+                logit += sign * ((votes * fires) @ np.log(rate) + ((1 - votes) * fires) @ np.log(1 - rate))
+        return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+
+
+def _spanning_tree(weight: np.ndarray) -> np.ndarray:
+    """The parent of each node (-1: the root) in the spanning tree of the largest weight."""
+    n = len(weight)
+    parent, best, inside = np.full(n, -1), weight[0].copy(), np.zeros(n, bool)
+    near = np.zeros(n, np.int64)
+    inside[0] = True
+    for _ in range(n - 1):
+        k = int(np.argmax(np.where(inside, -np.inf, best)))
+        inside[k], parent[k] = True, near[k]
+        closer = ~inside & (weight[k] > best)
+        best[closer], near[closer] = weight[k][closer], k
+    return parent
+
+
+def label_model(votes: np.ndarray, start: np.ndarray, times: np.ndarray, rounds: int = ROUNDS) -> tuple[LabelModel, np.ndarray]:
+    """The model and its posteriors, by expectation-maximisation from a first guess of the rows' classes."""
+    model = LabelModel(votes.shape[1])
+    model.fit(votes, start, times)
+    q = model.posterior(votes)
     for _ in range(rounds):
-        rates, shared = [], np.ones(votes.shape[1])
-        for weight in (q, 1 - q):
-            rate = np.clip((weight @ votes + 0.5) / (weight.sum() + 1), 1e-5, 1 - 1e-5)
-            rates.append(rate)
-            centred = (votes - rate) * np.sqrt(weight)[:, None]
-            spread = np.sqrt((centred**2).sum(axis=0) + 1e-9)
-            correlation = (centred / spread).T @ (centred / spread)
-            np.fill_diagonal(correlation, 0)
-            shared = np.maximum(shared, 1 + np.clip(correlation, 0, 1).sum(axis=1))
-        yes, no = rates
-        balance = np.log((q.sum() + 1) / ((1 - q).sum() + 1))
-        logit = votes @ (np.log(yes / no) / shared) + balance + evidence
-        new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-        if np.abs(new - q).max() < 1e-4:
+        model.fit(votes, q, times)
+        before, q = q, model.posterior(votes)
+        if np.abs(q - before).max() < 1e-4:
             break
-        q = new
-    return q
+    return model, q
 
 
-def train_linear(x: np.ndarray, q: np.ndarray, rounds: int = 60, ridge: float = 0.1) -> tuple[np.ndarray, float]:
-    """Weights and bias of a logistic regression on soft labels, by Newton steps."""
+def train_linear(x: np.ndarray, q: np.ndarray, times: np.ndarray, rounds: int = 60, ridge: float = 0.1) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on soft labels, by Newton steps; times: how many rows are like each."""
     full = np.hstack([x, np.ones((len(x), 1))])
     w, keep = np.zeros(full.shape[1]), np.full(full.shape[1], ridge)
     keep[-1] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
-        slope = full.T @ (p - q) + keep * w
-        bend = (full * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ full + np.diag(keep)
+        slope = full.T @ (times * (p - q)) + keep * w
+        bend = (full * (times * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ full + np.diag(keep)
         step = np.linalg.solve(bend, slope)
         w -= step
         if np.abs(step).max() < 1e-6:
@@ -165,14 +219,14 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> Model:
             got = [sorted(votes(t).items()) for t in part["text"]]
             yield pd.DataFrame({"toxic": part["toxic"], "at": [[i for i, _ in g] for g in got], "n": [[n for _, n in g] for g in got]})
 
-    rows = sample.mapInPandas(fired, "toxic int, at array<int>, n array<int>").groupBy("toxic", "at", "n").agg(F.count("*").alias("rows")).orderBy("toxic", "at", "n").collect()
+    rows = sample.mapInPandas(fired, "toxic int, at array<int>, n array<int>").groupBy("toxic", "at", "n").agg(F.count("*").alias("rows"))
+    rows = rows.orderBy(F.xxhash64("toxic", "at", "n"), "toxic", "at", "n").limit(SAMPLE).collect()
     x = np.zeros((len(rows), len(voters)))
     for k, r in enumerate(rows):
         x[k, r["at"]] = np.log1p(r["n"])
-    times = np.array([r["rows"] for r in rows])
-    x, toxic = np.repeat(x, times, axis=0).astype(np.float32), np.repeat(np.array([float(r["toxic"]) for r in rows]), times)
-    q = label_model((x > 0).astype(np.float64), np.where(toxic == 1, 0.95, 0.05))
-    return Model(voters, *train_linear(x.astype(np.float64), q))
+    times, toxic = np.array([float(r["rows"]) for r in rows]), np.array([float(r["toxic"]) for r in rows])
+    q = label_model((x > 0).astype(np.float64), toxic, times)[1] if pos and neg else toxic
+    return Model(voters, *train_linear(x, q, times))
 
 
 def score(docs: DataFrame, labels: DataFrame, folds: int = FOLDS) -> DataFrame:
