@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from .functions.dump_text import insert_rows, quoted_fields, unquoted_fields
 from .operators import paths as P
 from .operators import resolve as R
 from .operators.graph import LinkGraph
+from .operators.store import shared_dir
 from .plans.build import graph_from_tables
 from .plans.response import path_response, path_summary
 
@@ -76,8 +76,11 @@ class Views:
         source = F.col("l_partkey")
         self.pagelinks = line.where("l_quantity <= 4").select(source.cast("string").alias("pl_from"), flag(source % 20 == 13, "1").alias("pl_from_namespace"), ((source * 7 + F.col("l_suppkey") * 13 + F.col("l_linenumber")) % n + 1_000_000).cast("string").alias("pl_target_id"))
 
-    def graph(self, mode: str = "reference") -> LinkGraph:
-        return graph_from_tables(self.page, self.redirect, self.linktarget, self.pagelinks, mode)
+    def graph(self, mode: str = "reference", staged: bool = False) -> LinkGraph:
+        return graph_from_tables(self.page, self.redirect, self.linktarget, self.pagelinks, mode, staged)
+
+    def kept(self) -> LinkGraph:
+        return self.graph(staged=True)
 
     def some(self, modulo: int, rest: int) -> DataFrame:
         """A frontier: vertices of one remainder."""
@@ -89,25 +92,21 @@ def _text(df: DataFrame, array: str) -> DataFrame:
 
 
 def _shortest(view: Views, start: int = START, goal: int = GOAL) -> DataFrame:
-    return P.all_shortest_paths(view.graph(), start, goal)
+    return P.all_shortest_paths(view.kept(), start, goal)
 
 
 def _levels(view: Views, start: int = START) -> tuple[DataFrame, DataFrame]:
     """(node, dist) and (child, parent) of a search that goes on until nothing new is found."""
-    graph = view.graph()
-    P.with_checkpoints(graph.nodes)
-    links = graph.links.distinct().checkpoint()
-    first = view.spark.createDataFrame([(start,)], "node long")
-    side = P.Side(first, first.select("node", F.lit(0).alias("dist")), False)
-    parents = None
-    while not side.frontier.isEmpty():
-        side.advance(links)
+    side, parents = P.Side(view.kept(), start), None
+    while side.size:
+        side.advance()
+        side.weigh()
         parents = side.levels[-1] if parents is None else parents.unionByName(side.levels[-1])
     return side.seen, parents
 
 
 def _round_trip(view: Views) -> DataFrame:
-    folder = f"{view.spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp(prefix='linkweave-')}/graph-{os.urandom(8).hex()}"
+    folder = f"{shared_dir(view.spark)}/graph-{os.urandom(8).hex()}"
     view.graph().save(folder)
     return LinkGraph.load(view.spark, folder).links
 
@@ -149,15 +148,15 @@ _READ = {
     "edges_transitive": (lambda v: v.graph("transitive").links, _sql("SELECT src, dst FROM et")),
     "link_counts": (lambda v: R.link_counts(v.page, v.redirect, v.linktarget, v.pagelinks), _sql('SELECT (SELECT count(*) FROM pagelinks) AS "read", (SELECT count(*) FROM lk) AS resolved, (SELECT count(*) FROM e) AS kept')),
     "vertices_union": (lambda v: v.graph().nodes, _sql("SELECT page_id FROM v")),
-    "vertex_index": (lambda v: v.graph().vertex_index(), _sql("SELECT page_id, idx FROM idx")),
-    "edges_indexed": (lambda v: v.graph().indexed_edges(), _sql("SELECT src_idx, dst_idx FROM ei")),
+    "vertex_index": (lambda v: v.kept().vertex_index(), _sql("SELECT page_id, idx FROM idx")),
+    "edges_indexed": (lambda v: v.kept().indexed_edges(), _sql("SELECT src_idx, dst_idx FROM ei")),
     "adjacency_list": (lambda v: _text(v.graph().adjacency(), "neighbours"), _sql("SELECT src, string_agg(CAST(dst AS VARCHAR), '>' ORDER BY dst) AS neighbours FROM e GROUP BY src")),
     "reverse_adjacency_list": (lambda v: _text(v.graph().adjacency(True), "neighbours"), _sql("SELECT dst, string_agg(CAST(src AS VARCHAR), '>' ORDER BY src) AS neighbours FROM e GROUP BY dst")),
-    "csr_offsets": (lambda v: v.graph().offsets(), _sql("SELECT idx, off FROM off")),
-    "csr_reverse_offsets": (lambda v: v.graph().offsets(True), _sql("SELECT idx, off FROM roff")),
-    "csr_edges": (lambda v: v.graph().csr_edges(), _sql("SELECT row_number() OVER (ORDER BY src_idx, dst_idx) - 1 AS pos, dst_idx AS idx FROM ei")),
-    "csr_reverse_edges": (lambda v: v.graph().csr_edges(True), _sql("SELECT row_number() OVER (ORDER BY dst_idx, src_idx) - 1 AS pos, src_idx AS idx FROM ei")),
-    "degree_from_offsets": (lambda v: v.graph().degrees_from_offsets(), _sql("SELECT idx, degree FROM od")),
+    "csr_offsets": (lambda v: v.kept().offsets(), _sql("SELECT idx, off FROM off")),
+    "csr_reverse_offsets": (lambda v: v.kept().offsets(True), _sql("SELECT idx, off FROM roff")),
+    "csr_edges": (lambda v: v.kept().csr_edges(), _sql("SELECT row_number() OVER (ORDER BY src_idx, dst_idx) - 1 AS pos, dst_idx AS idx FROM ei")),
+    "csr_reverse_edges": (lambda v: v.kept().csr_edges(True), _sql("SELECT row_number() OVER (ORDER BY dst_idx, src_idx) - 1 AS pos, src_idx AS idx FROM ei")),
+    "degree_from_offsets": (lambda v: v.kept().degrees_from_offsets(), _sql("SELECT idx, degree FROM od")),
     "frontier_expand_forward": (lambda v: P.expand(v.some(50, 2), v.graph().links, v.some(40, 5)), _sql("SELECT DISTINCT dst AS child, src AS parent FROM e JOIN fr ON fr.node = src WHERE dst NOT IN (SELECT node FROM br)")),
     "frontier_expand_backward": (lambda v: P.expand(v.some(50, 2), v.graph().links, v.some(40, 5), True), _sql("SELECT DISTINCT src AS child, dst AS parent FROM e JOIN fr ON fr.node = dst WHERE src NOT IN (SELECT node FROM br)")),
     "frontier_link_counts": (lambda v: P.frontier_links(v.some(50, 2), v.graph().links).select(F.lit("forward").alias("side"), "links").union(P.frontier_links(v.some(40, 5), v.graph().links, True).select(F.lit("backward"), "links")), _sql("SELECT 'forward' AS side, count(*) AS links FROM e JOIN fr ON node = src UNION ALL SELECT 'backward', count(*) FROM e JOIN br ON node = dst")),
@@ -170,9 +169,9 @@ _READ = {
     "all_shortest_paths_unknown_node": (lambda v: _text(_shortest(v, 13, 13), "path"), _sql("SELECT array_to_string(path, '>') AS path FROM found", _paths(13, 13))),
     "all_shortest_paths_unreachable": (lambda v: _text(_shortest(v, 27, 7), "path"), _sql("SELECT array_to_string(path, '>') AS path FROM found", _paths(27, 7))),
     "path_summary": (lambda v: path_summary(_shortest(v)), _sql("SELECT count(*) AS num_paths, CAST(coalesce(min(len(path)), 0) AS BIGINT) AS shortest_path_length FROM found", _paths(START, GOAL))),
-    "path_response_json": (lambda v: path_response(v.graph(), START, GOAL), None),
-    "graph_stats": (lambda v: v.graph().stats(), _sql(_stats_sql())),
-    "offsets_tail": (lambda v: v.graph().offsets_tail(), _sql("SELECT idx, off FROM off ORDER BY idx DESC LIMIT 10")),
+    "path_response_json": (lambda v: path_response(v.kept(), START, GOAL), None),
+    "graph_stats": (lambda v: v.kept().stats(), _sql(_stats_sql())),
+    "offsets_tail": (lambda v: v.kept().offsets_tail(), _sql("SELECT idx, off FROM off ORDER BY idx DESC LIMIT 10")),
     "graph_roundtrip": (_round_trip, _sql("SELECT src, dst FROM e")),
     "dump_parse_quoted": (_quoted, "SELECT * FROM (VALUES ('1', '0', 'It''s_(a)_b,c', 'NULL', ''), ('2', '1', 'xy\\zn', '0.5', 'NULL'), ('3', ' 0', '', 'a(b', 'é\"q')) t(c0, c1, c2, c3, c4)"),
     "dump_parse_unquoted": (_unquoted, "SELECT * FROM (VALUES ('1', '0', '5'), ('2', '1', '6')) t(c0, c1, c2)"),

@@ -35,6 +35,6 @@ def insert_rows(line: Column, quoted: bool = True) -> Column:
 
 def strict_unsigned(text: Column, name: str) -> Column:
     """An unsigned 32-bit number as a long; anything else, blanks included, is an error."""
-    good = text.rlike(r"^\+?0*[0-9]{1,10}$")
+    good = text.rlike(r"\A\+?0*[0-9]{1,10}\z")
     value = F.when(good, F.regexp_replace(text, r"^\+", "").cast("bigint"))
     return F.when(good & (value <= MOST_UNSIGNED), value).otherwise(F.raise_error(F.concat(F.lit(f"{name} isn't an unsigned 32-bit number: "), F.coalesce(text, F.lit("NULL")))).cast("bigint"))

@@ -1,30 +1,41 @@
-"""The link graph: edges keyed by page ids, dense vertex numbers, and compressed sparse row arrays as tables."""
+"""The link graph: edges keyed by page ids, dense vertex numbers, and compressed sparse row arrays as tables.
+
+What several operators need (the vertex numbers, the edges by them, the links by either end) is staged once for a graph
+and read by all of them, however many requests it answers.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Ranges that numbers and running sums are computed in.
-RANGES = 64
+from .store import stage
+
+#: Bits of monotonically_increasing_id() below those of the partition.
+_ROW_BITS = 33
+
+
+def _bases(rows: DataFrame, amount: Column) -> DataFrame:
+    """_part, _base, _end: the sums of all parts before each part, and with it; a row a part."""
+    totals = rows.groupBy("_part").agg(F.sum(amount).alias("_sum"))
+    upto = F.sum("_sum").over(Window.orderBy("_part"))
+    return totals.select("_part", (upto - F.col("_sum")).alias("_base"), upto.alias("_end"))
 
 
-def running(df: DataFrame, key: str, value: str | None = None) -> DataFrame:
-    """Adds before: how many rows (or the sum of value) come before each row in the order of the distinct key.
+def numbered(df: DataFrame, *keys: str) -> DataFrame:
+    """Adds before (how many rows come before each in the order of the keys) and _part (the range that a row is in).
 
-    Rows are summed within ranges of the key, and the ranges' totals (RANGES rows) among themselves, so no task sees all.
+    Rows are dealt by ranges of the keys and sorted; a row's place in its range is known as it is written, and only the
+    ranges' numbers of rows meet. Ranges are as many as the session's shuffles have parts.
     """
-    amount = F.lit(1).cast("long") if value is None else F.col(value)
-    borders = df.select(F.percentile_approx(key, [k / RANGES for k in range(1, RANGES)], 10_000)).first()[0] or []
-    ids = F.array(*[F.lit(b).cast("long") for b in sorted(set(borders))]) if borders else F.array().cast("array<bigint>")
-    rows = df.withColumn("_range", F.size(F.filter(ids, lambda b: b <= F.col(key))))
-    totals = rows.groupBy("_range").agg(F.sum(amount).alias("_sum"))
-    earlier = totals.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_base"))
-    own = F.sum(amount).over(Window.partitionBy("_range").orderBy(key)) - amount
-    return rows.withColumn("_own", own).join(F.broadcast(earlier), "_range").withColumn("before", F.col("_own") + F.col("_base")).drop("_range", "_own", "_base")
+    rows = stage(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    rows = rows.withColumn("_part", F.shiftright("_at", _ROW_BITS))
+    place = F.col("_at").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
+    return rows.join(F.broadcast(_bases(rows, F.lit(1))), "_part").select(*df.columns, "_part", (F.col("_base") + place).alias("before"))
 
 
 @dataclass
@@ -33,16 +44,42 @@ class LinkGraph:
 
     nodes: DataFrame
     links: DataFrame
+    _kept: dict[str, DataFrame] = field(default_factory=dict, repr=False, compare=False)
+
+    def _once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that is staged the first time that it is asked for."""
+        if name not in self._kept:
+            self._kept[name] = stage(make(), name)
+        return self._kept[name]
+
+    def _index(self) -> DataFrame:
+        return self._once("index", lambda: numbered(self.nodes.select("page_id"), "page_id").withColumnRenamed("before", "idx"))
 
     def vertex_index(self) -> DataFrame:
         """page_id, idx: dense numbers from 0 in the order of page_id."""
-        return running(self.nodes.select("page_id"), "page_id").withColumnRenamed("before", "idx").select("page_id", "idx")
+        return self._index().select("page_id", "idx")
 
-    def indexed_edges(self, index: DataFrame | None = None) -> DataFrame:
+    def indexed_edges(self) -> DataFrame:
         """src_idx, dst_idx of every link whose ends are both vertices."""
-        index = self.vertex_index() if index is None else index
-        out = self.links.join(index.select(F.col("page_id").alias("src"), F.col("idx").alias("src_idx")), "src")
-        return out.join(index.select(F.col("page_id").alias("dst"), F.col("idx").alias("dst_idx")), "dst").select("src_idx", "dst_idx")
+
+        def make() -> DataFrame:
+            index = self.vertex_index()
+            out = self.links.join(index.select(F.col("page_id").alias("src"), F.col("idx").alias("src_idx")), "src")
+            return out.join(index.select(F.col("page_id").alias("dst"), F.col("idx").alias("dst_idx")), "dst").select("src_idx", "dst_idx")
+
+        return self._once("indexed-edges", make)
+
+    def pairs(self, reverse: bool = False) -> DataFrame:
+        """near, far, n: each pair of linked pages with its number of links, in ranges of the end that a search comes from."""
+
+        def make(side: bool) -> DataFrame:
+            if side:
+                rows = self.pairs().select(F.col("far").alias("near"), F.col("near").alias("far"), "n")
+            else:
+                rows = self.links.groupBy(F.col("src").alias("near"), F.col("dst").alias("far")).agg(F.count("*").alias("n"))
+            return rows.repartitionByRange("near", "far").sortWithinPartitions("near", "far")
+
+        return self._once(f"pairs-{reverse}", lambda: make(reverse))
 
     def adjacency(self, reverse: bool = False) -> DataFrame:
         """Each vertex that has any with its neighbours, ascending, duplicates included."""
@@ -55,42 +92,56 @@ class LinkGraph:
         counts = self.links.groupBy(F.col(key).alias("page_id")).agg(F.count("*").alias("degree"))
         return self.nodes.join(counts, "page_id", "left").select("page_id", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 
+    def _runs(self, reverse: bool) -> DataFrame:
+        """idx, _part, off, degree, _end of every vertex: where its run of edges begins, and where that of its range ends."""
+
+        def make() -> DataFrame:
+            rows = stage(self._index().join(self.degrees(reverse), "page_id").select("idx", "_part", "degree"), "degrees")
+            own = F.sum("degree").over(Window.partitionBy("_part").orderBy("idx")) - F.col("degree")
+            return rows.withColumn("_own", own).join(F.broadcast(_bases(rows, F.col("degree"))), "_part").select("idx", "_part", (F.col("_base") + F.col("_own")).alias("off"), "_end")
+
+        return self._once(f"runs-{reverse}", make)
+
     def offsets(self, reverse: bool = False) -> DataFrame:
         """idx, off: where each vertex's run of edges begins; the last row, idx = number of vertices, has their number."""
-        index = self.vertex_index()
-        rows = running(self.degrees(reverse).join(index, "page_id").select("idx", "degree"), "idx", "degree")
-        end = rows.agg(F.count("*").alias("idx"), F.coalesce(F.sum("degree"), F.lit(0)).cast("long").alias("off"))
-        return rows.select("idx", F.col("before").alias("off")).union(end)
+        rows = self._runs(reverse)
+        end = rows.agg(F.count("*").alias("idx"), F.coalesce(F.max("_end"), F.lit(0)).cast("long").alias("off"))
+        return rows.select("idx", "off").union(end)
 
     def degrees_from_offsets(self, reverse: bool = False) -> DataFrame:
-        """idx, degree: the difference of neighbouring offsets, by a join on the next number."""
-        off = self.offsets(reverse)
-        after = off.select((F.col("idx") - 1).alias("idx"), F.col("off").alias("end"))
-        return off.join(after, "idx").select("idx", (F.col("end") - F.col("off")).alias("degree"))
+        """idx, degree: the difference of neighbouring offsets, within ranges of vertices."""
+        after = F.coalesce(F.lead("off").over(Window.partitionBy("_part").orderBy("idx")), F.col("_end"))
+        return self._runs(reverse).select("idx", (after - F.col("off")).alias("degree"))
 
     def csr_edges(self, reverse: bool = False) -> DataFrame:
-        """pos, idx: the array of neighbours, by vertex and neighbour ascending (a multiset's order is free)."""
+        """pos, idx: the array of neighbours, by vertex and neighbour ascending (a multiset's order is free).
+
+        Ranges are of both, so a vertex of many links is in many of them.
+        """
         key, other = ("dst_idx", "src_idx") if reverse else ("src_idx", "dst_idx")
         rows = self.indexed_edges().select(F.col(key).alias("v"), F.col(other).alias("idx"))
-        place = F.row_number().over(Window.partitionBy("v").orderBy("idx")) - 1
-        return rows.withColumn("_n", place).join(self.offsets(reverse).select(F.col("idx").alias("v"), "off"), "v").select((F.col("off") + F.col("_n")).alias("pos"), "idx")
+        return numbered(rows, "v", "idx").select(F.col("before").alias("pos"), "idx")
 
     def stats(self) -> DataFrame:
         """One row: vertices, the lengths of the offset and edge arrays, and their last elements, both ways."""
-        index = self.vertex_index()
-        pairs = self.indexed_edges(index)
-        n = index.agg(F.count("*").alias("n"))
-        m = pairs.agg(F.count("*").alias("m"), F.max(F.struct("src_idx", "dst_idx"))["dst_idx"].alias("last_edge"), F.max(F.struct("dst_idx", "src_idx"))["src_idx"].alias("last_reverse_edge"))
-        # Both sides have one row.
-        return n.join(m, F.lit(True)).select(F.col("n").alias("vertices"), (F.col("n") + 1).alias("offsets_len"), F.col("m").alias("edges_len"), F.col("m").alias("last_offset"), "last_edge", (F.col("n") + 1).alias("reverse_offsets_len"), F.col("m").alias("reverse_edges_len"), F.col("m").alias("last_reverse_offset"), "last_reverse_edge")
+        pairs = self.indexed_edges()
+        ways = (("", False, "src_idx", "dst_idx"), ("reverse_", True, "dst_idx", "src_idx"))
+        sides = [self.vertex_index().agg(F.count("*").alias("vertices"), (F.count("*") + 1).alias("offsets_len"), (F.count("*") + 1).alias("reverse_offsets_len"))]
+        last = [F.max(F.struct(v, w))[w].alias(f"last_{name}edge") for name, _, v, w in ways]
+        sides.append(pairs.agg(F.count("*").alias("edges_len"), F.count("*").alias("reverse_edges_len"), *last))
+        sides += [self.offsets(reverse).agg(F.max_by("off", "idx").alias(f"last_{name}offset")) for name, reverse, *_ in ways]
+        rows = sides[0]
+        for side in sides[1:]:
+            rows = rows.unionByName(side, allowMissingColumns=True)
+        return rows.agg(*[F.max(c).alias(c) for c in ("vertices", *(f"{name}{c}" if c.endswith("len") else c for name, *_ in ways for c in ("offsets_len", "edges_len", f"last_{name}offset", f"last_{name}edge")))])
 
     def offsets_tail(self, n: int = 10) -> DataFrame:
         return self.offsets().orderBy(F.col("idx").desc()).limit(n)
 
     def save(self, path: str) -> None:
-        """Two Parquet tables; links are dealt by source, so what a source has lies together."""
+        """Two Parquet tables; links are in ranges of source and target, so what a source has lies together."""
         self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-        self.links.repartition("src").sortWithinPartitions("src", "dst").write.mode("overwrite").parquet(f"{path}/links")
+        self.links.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst").write.mode("overwrite").parquet(f"{path}/links")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LinkGraph:

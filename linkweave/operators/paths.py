@@ -1,27 +1,27 @@
 """All shortest paths between two pages, by a search from both ends.
 
-Each round expands the side whose frontier has fewer links by one whole level: a join of the frontier with the links, an
-anti join with what that side has seen, and a checkpoint that cuts the lineage in the shared folder. The driver sees
-counts only. Paths are then read off the levels' parent tables, a join a level. Which side is expanded never changes the
-result; links that occur twice and self-loops don't either.
+The graph's links lie staged in ranges of their source, and again of their target. Each round expands the side whose
+frontier has fewer links by one whole level: a join of the frontier with the links (the frontier is broadcast while it
+has at most BROADCAST_ROWS nodes, so links aren't shuffled), an anti join with the levels that the side has seen, and a
+table in the shared folder. The driver sees counts only. Paths are then read off the levels' parent tables, a join a
+level. Which side is expanded never changes the result; links that occur twice and self-loops don't either.
 """
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import LinkGraph
+from .store import stage
 
-
-def with_checkpoints(df: DataFrame) -> None:
-    """The session's checkpoint folder, or a temporary one where none is set (one machine, tests)."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkweave-"))
+#: Nodes of a frontier, 8 bytes each, that are sent to all tasks.
+BROADCAST_ROWS = 1_000_000
+#: Levels that are put into one table.
+TOGETHER = 8
 
 
 def expand(frontier: DataFrame, links: DataFrame, seen: DataFrame, reverse: bool = False) -> DataFrame:
@@ -44,19 +44,50 @@ def meet(frontier: DataFrame, depth: int, other: DataFrame) -> DataFrame:
 
 @dataclass
 class Side:
-    frontier: DataFrame
-    seen: DataFrame
-    reverse: bool
+    """One end's search: its frontier (of size nodes and links links), levels of (child, parent), and what it has seen."""
+
+    graph: LinkGraph
+    start: int
+    reverse: bool = False
     depth: int = 0
+    size: int = 1
     links: int = 0
     levels: list[DataFrame] = field(default_factory=list)
+    seen_levels: list[DataFrame] = field(default_factory=list)
+
+    def __post_init__(self) -> None:
+        self.pairs = self.graph.pairs(self.reverse)
+        self.frontier = _ids(self.graph.nodes, self.start)
+        self.seen_levels.append(self.frontier.select("node", F.lit(0).alias("dist")))
+
+    @property
+    def seen(self) -> DataFrame:
+        """node, dist of all levels."""
+        return reduce(DataFrame.unionByName, self.seen_levels)
+
+    def _near(self) -> DataFrame:
+        return F.broadcast(self.frontier) if self.size <= BROADCAST_ROWS else self.frontier
 
-    def advance(self, links: DataFrame) -> None:
-        step = expand(self.frontier, links, self.seen, self.reverse).checkpoint()
+    def advance(self) -> None:
+        links = self.pairs.select(F.col("near").alias("src"), F.col("far").alias("dst"))
+        step = stage(expand(self._near(), links, self.seen), "level")
         self.depth += 1
         self.levels.append(step)
         self.frontier = step.select(F.col("child").alias("node")).distinct()
-        self.seen = self.seen.unionByName(self.frontier.select("node", F.lit(self.depth).alias("dist"))).checkpoint()
+        self.seen_levels.append(self.frontier.select("node", F.lit(self.depth).alias("dist")))
+        if len(self.seen_levels) > TOGETHER:
+            self.seen_levels = [stage(self.seen, "seen")]
+
+    def weigh(self, other: Side | None = None) -> int | None:
+        """Counts the frontier's nodes and links; the length of the shortest path through a node that the other has seen."""
+        n = self.pairs.select(F.col("near").alias("node"), "n")
+        rows = n.join(self._near(), "node").groupBy().agg(F.coalesce(F.sum("n"), F.lit(0)).alias("links"))
+        sides = [rows, self.frontier.agg(F.count("*").alias("nodes"))]
+        if other is not None:
+            sides.append(meet(self.frontier, self.depth, other.seen).agg(F.min("length").alias("length")))
+        row = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), sides).agg(*[F.max(c) for c in ("links", "nodes", "length")[: len(sides)]]).first()
+        self.links, self.size = row[0], row[1]
+        return row[2] if other is not None else None
 
 
 def _ids(df: DataFrame, *values: int) -> DataFrame:
@@ -65,35 +96,23 @@ def _ids(df: DataFrame, *values: int) -> DataFrame:
 
 def all_shortest_paths(graph: LinkGraph, start: int, goal: int) -> DataFrame:
     """path: an array of page ids from start to goal for each shortest path; no rows if there is none or an id is unknown."""
-    nodes, links = graph.nodes, graph.links
+    nodes = graph.nodes
     nothing = nodes.sparkSession.createDataFrame([], "path array<bigint>")
     known = {r["page_id"] for r in nodes.where(F.col("page_id").isin(start, goal)).select("page_id").distinct().collect()}
     if not {start, goal} <= known:
         return nothing
     if start == goal:
         return nodes.sparkSession.createDataFrame([([start],)], "path array<bigint>")
-    with_checkpoints(nodes)
-    pairs = links.groupBy("src", "dst").agg(F.count("*").alias("n")).cache()
-    sides = []
-    for node, reverse in ((start, False), (goal, True)):
-        first = _ids(nodes, node)
-        sides.append(Side(first, first.select("node", F.lit(0).alias("dist")), reverse))
-
-    def weigh(side: Side) -> tuple[int, int]:
-        key = "dst" if side.reverse else "src"
-        row = side.frontier.join(pairs.select(F.col(key).alias("node"), "n"), "node", "left").agg(F.countDistinct("node").alias("nodes"), F.coalesce(F.sum("n"), F.lit(0)).alias("links")).first()
-        return row["nodes"], row["links"]
-
-    weights = [weigh(s) for s in sides]
+    sides = [Side(graph, start), Side(graph, goal, True)]
+    for side in sides:
+        side.weigh()
     length: int | None = None
-    while length is None and all(n for n, _ in weights):
-        at = 0 if weights[0][1] <= weights[1][1] else 1
+    while length is None and all(s.size for s in sides):
+        at = 0 if sides[0].links <= sides[1].links else 1
         side, other = sides[at], sides[1 - at]
-        side.advance(pairs)
-        weights[at] = weigh(side)
-        length = meet(side.frontier, side.depth, other.seen).agg(F.min("length")).first()[0]
+        side.advance()
+        length = side.weigh(other)
     if length is None:
-        pairs.unpersist()
         return nothing
     found = meet(side.frontier, side.depth, other.seen).where(F.col("length") == length).select("node")
     reach = {at: side.depth, 1 - at: length - side.depth}
@@ -105,6 +124,4 @@ def all_shortest_paths(graph: LinkGraph, start: int, goal: int) -> DataFrame:
             longer = F.concat("path", F.array("_next")) if s.reverse else F.concat(F.array("_next"), F.col("path"))
             ends = ends.join(step, "_end").select("node", longer.alias("path"), F.col("_next").alias("_end"))
         paths = ends.select("node", "path")
-    out = paths.select("path").distinct().checkpoint()
-    pairs.unpersist()
-    return out
+    return stage(paths.select("path").distinct(), "paths")

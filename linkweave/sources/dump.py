@@ -65,7 +65,7 @@ def header_columns(spark: SparkSession, path: str) -> list[str]:
     """Column names of the first CREATE TABLE: back-quoted names at the start of lines, up to a line that starts with )."""
     names: list[str] = []
     inside = False
-    for row in spark.read.text(path).where(~F.col("value").startswith("INSERT ")).limit(2000).toLocalIterator():
+    for row in spark.read.text(path).where(~F.col("value").startswith("INSERT ")).toLocalIterator():
         line = row.value
         if not inside:
             inside = line.startswith("CREATE TABLE")

@@ -94,7 +94,7 @@ def test_unsigned(spark, text, value):
     assert spark.createDataFrame([(text,)], "t string").select(strict_unsigned(F.col("t"), "t").alias("v")).first().v == value
 
 
-@pytest.mark.parametrize("text", ["", " 2", "2 ", "-1", "4294967296", "x", None])
+@pytest.mark.parametrize("text", ["", " 2", "2 ", "-1", "4294967296", "x", None, "5\n", "\n5"])
 def test_no_unsigned(spark, text):
     with pytest.raises(SparkRuntimeException):
         spark.createDataFrame([(text,)], "t string").select(strict_unsigned(F.col("t"), "t").alias("v")).collect()
