@@ -59,6 +59,9 @@ class _Tokens:
         self.train = np.repeat(~self.held, sizes)
         #: The token before; a text's first follows the end token.
         self.before = np.concatenate([[np.searchsorted(grams, END)], word[:-1]]) if len(word) else word
+        two = (grams & np.uint64(1)).astype(bool)
+        #: The 1-grams', and the 2-grams' numbers.
+        self.words, self.pairs = np.flatnonzero(~two), np.flatnonzero(two)
         kept = self.train.astype(np.float64)
         self.counts = (np.bincount(word, kept, len(grams)) + np.bincount(pair, kept, len(grams))).astype(np.int64)
 
@@ -79,12 +82,11 @@ class _Tokens:
         return mix(np.concatenate([[END], tokens[:-1]]).astype(np.uint64), tokens) | np.uint64(1)
 
     def to_bytes(self) -> bytes:
-        words = np.unique(self.word)
         place = np.zeros(len(self.grams), np.int64)
-        place[words] = np.arange(len(words))
+        place[self.words] = np.arange(len(self.words))
         known = np.array([i is not None for i in self.ids], np.uint8)
         ids = np.array([0 if i is None else i for i in self.ids], "<i8")
-        parts = [known.tobytes(), ids.tobytes(), self.sizes.astype("<i8").tobytes(), encode_keys(self.grams[words]), encode_counts(place[self.word]), encode_counts(self.pair)]
+        parts = [known.tobytes(), ids.tobytes(), self.sizes.astype("<i8").tobytes(), encode_keys(self.grams[self.words]), encode_counts(place[self.word]), encode_counts(self.pair)]
         return np.array([len(p) for p in parts], "<i8").tobytes() + b"".join(parts)
 
     @classmethod
@@ -94,14 +96,22 @@ class _Tokens:
         known, ids, sizes, keys, place, pair = (raw[e - n : e] for e, n in zip(ends, lengths.tolist()))
         keys, place, pair = decode_keys(keys), decode_counts(place), decode_counts(pair)
         tokens = keys[place]
-        grams = np.zeros(int(pair.max()) + 1 + len(keys) if len(pair) else 0, np.uint64)
-        grams[pair] = cls._pairs(tokens)
-        is_word = np.ones(len(grams), bool)
+        # What isn't a pair's number is a word's, in order.
+        is_word = np.ones(int(pair.max()) + 1 + len(keys) if len(pair) else 0, bool)
         is_word[pair] = False
-        at = np.flatnonzero(is_word)[: len(keys)]  # what isn't a pair's number is a word's, in order
+        at = np.flatnonzero(is_word)[: len(keys)]
+        grams = np.zeros(len(keys) + len(is_word) - int(is_word.sum()), np.uint64)
         grams[at] = keys
+        grams[pair] = cls._pairs(tokens)
         names = [v if k else None for v, k in zip(np.frombuffer(ids, "<i8").tolist(), known)]
-        return cls(names, np.frombuffer(sizes, "<i8"), at[place], pair, grams[: len(np.unique(pair)) + len(keys)], folds)
+        return cls(names, np.frombuffer(sizes, "<i8"), at[place], pair, grams, folds)
+
+
+def _first(numbers: np.ndarray, n: int) -> np.ndarray:
+    """Where each of n numbers occurs first; anything for one that doesn't."""
+    out = np.zeros(n, np.int64)
+    out[numbers[::-1]] = np.arange(len(numbers) - 1, -1, -1)
+    return out
 
 
 class _Triples:
@@ -177,19 +187,18 @@ class _Known:
 
     def __init__(self, t: _Tokens, answers: pd.DataFrame, order: int):
         self.total, owned, shared = _gather(answers[answers["kind"] == 0])
-        arcs, first = np.unique(t.pair, return_index=True)
-        mine = owned[arcs] & (self.total[arcs] > 0)
-        self.followers = np.bincount(t.before[first[mine]], minlength=len(t.grams))
-        states = t.before
+        arcs = t.pairs[owned[t.pairs] & (self.total[t.pairs] > 0)]
+        self.followers = np.bincount(t.before[_first(t.pair, len(t.grams))[arcs]], minlength=len(t.grams))
+        states = np.zeros(len(t.grams), bool)
+        states[t.before] = True
         self.triples = self.total3 = None
         if order > 2:
             self.triples = _Triples(t, shared)
             self.total3, owned = self.triples.totals(answers[answers["kind"] == 2])
             self.followers += np.bincount(self.triples.before[owned & (self.total3 > 0)], minlength=len(t.grams))
-            states = np.concatenate([states, self.triples.before])
-        states = np.unique(states)
+            states[self.triples.before] = True
         #: States whose followers other blocks may have.
-        self.asked = states[shared[states] & (self.total[states] > 1)]
+        self.asked = np.flatnonzero(states & shared & (self.total > 1))
 
     def all_followers(self, answers: pd.DataFrame) -> np.ndarray:
         out = np.where(self.total == 1, 1, self.followers)
@@ -212,17 +221,16 @@ class _Automaton:
         seen = np.maximum(known.total, 1)
         left = followers / seen
         self.fail, self.back = np.zeros(len(t.grams)), np.full(len(t.grams), self.ROOT)
-        words, pairs = np.unique(t.word), np.unique(t.pair, return_index=True)
-        last = t.word[pairs[1]]  # the last token of each 2-gram
-        self.back[pairs[0]] = last
-        states = np.zeros(len(t.grams), np.int64)
-        states[pairs[0]] = t.before[pairs[1]]
+        words, pairs = t.words, t.pairs
+        first, states = _first(t.pair, len(t.grams)), np.zeros(len(t.grams), np.int64)
+        self.back[t.pair] = t.word  # a 2-gram's last token
+        states[pairs] = t.before[first[pairs]]
         with np.errstate(divide="ignore"):
             self.fail[words] = np.log10(discounts[0] * left[words])
-            self.fail[pairs[0]] = np.log10(discounts[1] * left[pairs[0]])
+            self.fail[pairs] = np.log10(discounts[1] * left[pairs])
         self.arc = np.full(len(t.grams), np.nan)
         self.arc[words] = np.log10((known.total[words] + ADD) / (n + ADD * (v + 1)))
-        two = pairs[0][self.known[pairs[0]]]
+        two = pairs[self.known[pairs]]
         self.arc[two] = self._arcs(known.total[two], seen[states[two]], discounts[0], self.fail[states[two]] + self.arc[self.back[two]])
         self.arc3 = np.zeros(0)
         if self.triples is not None:
