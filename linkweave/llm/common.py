@@ -26,22 +26,18 @@ def ascii_lower(c: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where that is unset (tests, one machine)."""
+    """The folder that spark.checkpoint.dir names; a temporary one where that is unset and all runs on one machine."""
     global _local_dir
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
     if _local_dir is None:
         _local_dir = "file://" + tempfile.mkdtemp(prefix="linkweave-")
     return _local_dir
 
 
-def with_checkpoints(spark: SparkSession) -> None:
-    """Makes DataFrame.checkpoint() usable where the session has no checkpoint folder yet."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
 @atexit.register
 def _drop_staged() -> None:
     while _staged:
@@ -207,22 +203,25 @@ def split_keys(keys: np.ndarray, parts: int) -> list[tuple[int, slice]]:
 def connected(edges: DataFrame) -> DataFrame:
     """edges(u, v long) to (node, component): component is the smallest node that it reaches.
 
-    Large-star and small-star steps alternate until nothing changes; each step is joins and aggregates by node, and a
-    reliable checkpoint cuts its lineage.
+    Large-star and small-star steps alternate until nothing changes. Each step is joins and aggregates by node between
+    staged tables, so lineage is cut, and the join with a node of many edges can be split.
     """
-    with_checkpoints(edges.sparkSession)
 
     def mark(e: DataFrame):
         return e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
-    e = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    def kept(e: DataFrame) -> DataFrame:
+        return stage(e.where("u <> v").distinct(), "stars")
+
+    e = kept(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     before = mark(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = stage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "stars-least")
+        e = kept(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
         least = e.groupBy("u").agg(F.min("v").alias("m"))
-        e = e.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct().checkpoint()
+        pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))
+        e = kept(e.join(least, "u").select(F.explode(pairs).alias("e")).select("e.*"))
         after = mark(e)
         if after == before:
             break

@@ -2,15 +2,20 @@
 
 A fingerprint is cut into M segments on a ring. If two fingerprints differ in at most BITS bits, some segment starts a
 chain in which the first l segments differ in at most l * BITS / M bits, for every l. With M = 5 and BITS = 4 the first
-segment is then equal, and the second differs in one bit at most: both together are the key of a bucket, in which
-either side looks the other up; the rest of the chain is held against its budgets before the full Hamming distance.
+segment is then equal, and the second differs in one bit at most: both together are the key of a bucket. Of two that
+differ in a bit there, the one that has it off looks up the key of the other. In a bucket, candidates are pruned by the
+chain from its start, segment after segment, each with its cumulative budget; only those that are left are held against
+the full Hamming distance.
 
 Fingerprints are distinct before any of this, so copies cost nothing, and a bucket gives the edges of a spanning forest
 of its links, never its pairs. A bucket of more than SPLIT fingerprints is dealt out again by the third segment of the
-chain (two bits at most over three segments).
+chain (two bits at most over three segments). Names of components go to fingerprints by joins of staged tables, which
+adaptive execution can split where one is hot.
 
 Edge cases: a null text counts as empty, with fingerprint zero, which links like any other; fewer than four words are
 one shingle. Repeated rows each get a row. A null doc_id names a component (null) only if none of it has another.
+keep_one() so keeps one of all texts without words, and of texts whose fingerprints are that near to zero; whatever
+other columns are called, they come out as they went in.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import buckets, connected, doc_rows, stage
 
 BITS, M, WORDS, SEED, SPLIT = 4, 5, 4, 42, 4096
+_FINER = 1 << 62
 WIDTHS = (13, 13, 13, 13, 12)
 STARTS = tuple(sum(WIDTHS[:i]) for i in range(M))
 
@@ -84,17 +90,20 @@ def _key(i: int, parts: list[np.ndarray]) -> np.ndarray:
 
 
 def _keys(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each start of a chain a row to be found by, and a row to look up for each value that the second segment may have."""
+    """For each start of a chain a row to be found by, and a row to look up for each bit that the second segment has off."""
     for part in parts:
         for k in range(0, len(part), 4096):
             x = part["fp"].to_numpy()[k : k + 4096].view(np.uint64)
             keys, own = [], []
+            marks = []
             for i in range(M):
                 a, b = _segment(x, i), _segment(x, i + 1)
                 for flip in _flips(WIDTHS[(i + 1) % M], 1):
-                    keys.append(_key(i, [a, b ^ np.uint64(flip)]))
-                    own.append(flip == 0)
-            yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "fp": np.tile(x.view(np.int64), len(keys)), "own": np.repeat(own, len(x))})
+                    off = (b & np.uint64(flip)) == 0
+                    keys.append(_key(i, [a[off], b[off] | np.uint64(flip)]))
+                    marks.append(x[off])
+                    own.append(np.full(len(marks[-1]), flip == 0))
+            yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "fp": np.concatenate(marks).view(np.int64), "own": np.concatenate(own)})
 
 
 def _finer_keys(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,40 +120,46 @@ def _finer_keys(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 spent = np.bitwise_count((key[rows] & np.uint64((1 << 13) - 1)) ^ _segment(x[rows], i + 1)).astype(np.int64)
                 for flip in _flips(WIDTHS[(i + 2) % M], 2):  # a row to be found by looks others up as well
                     some = rows[spent + flip.bit_count() <= 2]
-                    wide = (key[some] << np.uint64(13)) | (_segment(x[some], i + 2) ^ np.uint64(flip)) | np.uint64(1 << 62)
+                    wide = (key[some] << np.uint64(13)) | (_segment(x[some], i + 2) ^ np.uint64(flip)) | np.uint64(_FINER)
                     yield pd.DataFrame({"key": wide.view(np.int64), "fp": x[some].view(np.int64), "own": np.full(len(some), mine and flip == 0)})
 
 
-def chained(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether some start has every chain of segments within its share of the differing bits."""
-    d = [np.bitwise_count(_segment(a ^ b, i)).astype(np.int64) for i in range(M)]
-    ok = np.zeros(len(a), bool)
-    for i in range(M):
-        fits, total = np.ones(len(a), bool), np.zeros(len(a), np.int64)
-        for n in range(M):
-            total = total + d[(i + n) % M]
-            fits &= total <= (n + 1) * BITS // M
-        ok |= fits
-    return ok
+def chained(x: np.ndarray, start: int) -> np.ndarray:
+    """Which differences keep within the budget of every chain of segments from the start but the whole; one is pruned
+    at the first segment that is beyond it."""
+    left, total = np.arange(len(x)), np.zeros(len(x), np.int64)
+    for n in range(M - 1):
+        total = total + np.bitwise_count(_segment(x[left], start + n))
+        keep = total <= (n + 1) * BITS // M
+        left, total = left[keep], total[keep]
+    return left
 
 
-def forest(x: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links among distinct fingerprints: a search that looks at unreached ones only."""
+def forest(x: np.ndarray, start: int) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links among distinct fingerprints whose chain holds from the start: a search
+    that looks at unreached ones only."""
     left, edges = np.arange(len(x)), []
     while len(left) > 1:
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             at = queue.pop()
-            near = np.bitwise_count(x[left] ^ x[at]) <= BITS
-            if near.any():
+            change = x[left] ^ x[at]
+            near = chained(change, start)
+            near = near[np.bitwise_count(change[near]) <= BITS]
+            if len(near):
                 got = left[near]
-                got = got[chained(x[got], np.full(len(got), x[at]))]
                 edges += [(at, int(g)) for g in got]
                 queue += got.tolist()
-                left = np.setdiff1d(left, got, assume_unique=True)
+                left = np.delete(left, near)
     return edges
 
 
+def _start(key: int) -> int:
+    """The segment that a bucket's chain begins with."""
+    key &= (1 << 64) - 1
+    return (key ^ _FINER) >> 39 if key & _FINER else key >> 26
+
+
 def _bucket_links(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come in the order of their keys; the last bucket of a batch waits for the next batch."""
     held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -156,7 +171,7 @@ def _bucket_links(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for a, n in zip(at[sizes > 1].tolist(), sizes[sizes > 1].tolist()):
             if own[a : a + n].any():
                 x = np.unique(fp[a : a + n].view(np.uint64))
-                edges += [(int(x[i]), int(x[j])) for i, j in forest(x)]
+                edges += [(int(x[i]), int(x[j])) for i, j in forest(x, _start(int(key[a])))]
         pairs = np.array(edges, np.uint64).reshape(-1, 2).view(np.int64)
         return pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
 
@@ -182,9 +197,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     marks = stage(fingerprints(docs), "simhash")
     distinct = stage(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
     n = distinct.count()
-    rows = distinct.select("fp").mapInPandas(_keys, "key long, fp long, own boolean")
-    # Each row meets few others by chance, so parts are sized by rows.
-    parts = max(distinct.sparkSession.sparkContext.defaultParallelism, 8 * buckets(n * 70 // 8))
+    # A fingerprint gives 38 rows or so; each meets few others by chance, so parts are sized by rows.
+    parts = max(distinct.sparkSession.sparkContext.defaultParallelism, 8 * buckets(n * 38 // 8))
+    rows = distinct.select("fp").repartition(parts, "fp").mapInPandas(_keys, "key long, fp long, own boolean")
     large = stage(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT).select("key"), "simhash-large")
     if large.isEmpty():
         links = _links_in(rows, parts)
@@ -193,22 +208,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         finer = rows.join(large, "key", "left_semi").mapInPandas(_finer_keys, "key long, fp long, own boolean")
         links = rest.unionByName(_links_in(finer, parts))
     component = connected(stage(links.distinct(), "simhash-links"))
-    grouped = distinct.join(component, distinct["fp"] == component["node"], "left").select("fp", "rep", F.coalesce("component", "fp").alias("group"))
-    named = grouped.groupBy("group").agg(F.min("rep").alias("component_id"))
-    return marks.join(grouped.select("fp", "group"), "fp").join(named, "group").select("doc_id", "text_key", "fp", "component_id", "group")
+    member = component.select(F.col("node").alias("fp"), F.col("component").alias("group"))
+    member = member.unionByName(component.select(F.col("component").alias("fp"), F.col("component").alias("group")).distinct())
+    linked = stage(member.join(distinct, "fp"), "simhash-linked")
+    named = stage(linked.groupBy("group").agg(F.min("rep").alias("component_id")), "simhash-named")
+    linked = linked.join(named, "group").select("fp", "group", "component_id")
+    own = F.when(F.col("group").isNull(), F.col("rep")).otherwise(F.col("component_id"))
+    every = stage(distinct.join(linked, "fp", "left").select("fp", F.coalesce("group", "fp").alias("group"), own.alias("component_id")), "simhash-named-fp")
+    return marks.join(every, "fp").select("doc_id", "text_key", "fp", "component_id", "group")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: the one with the smallest doc_id (null last), and of those the text's hash."""
     found = stage(near_duplicates(docs), "simhash-components")
     first = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
-    kept = found.groupBy("group").agg(F.min(first).alias("k")).select(F.col("k.doc_id").alias("_kept_id"), F.col("k.text_key").alias("_kept_key"))
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    out = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")) & (key == F.col("_kept_key")), "left_semi")
-    again = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1")
-    if again.isEmpty():
-        return out
-    return out.withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    kept = found.groupBy("group").agg(F.min(first).alias("k")).select(F.col("k.doc_id").alias("kept_id"), F.col("k.text_key").alias("kept_key"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"))
+    out = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi")
+    if not found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        out = out.dropDuplicates(["id", "key"])
+    return out.select("row.*")
 
 
 def op6_simhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -75,11 +75,34 @@ def test_chain_filter_keeps_all_near_pairs():
     for k in range(len(b)):
         for bit in r.choice(64, r.integers(0, 5), replace=False):
             b[k] ^= np.uint64(1 << int(bit))
-    assert simhash.chained(a, b).all()
+    held = np.zeros(len(a), bool)
+    for start in range(simhash.M):
+        held[simhash.chained(a ^ b, start)] = True
+    assert held.all()
+
+
+def test_chains_prune_by_each_budget():
+    """Against every prefix of the chain, counted bit by bit."""
+    r = np.random.default_rng(5)
+    x = (r.integers(0, 1 << 63, 3000, dtype=np.uint64) & r.integers(0, 1 << 63, 3000, dtype=np.uint64)) & (r.integers(0, 1 << 63, 3000, dtype=np.uint64) & r.integers(0, 1 << 63, 3000, dtype=np.uint64))
+    widths = [simhash.WIDTHS[k] for k in range(simhash.M)]
+    for start in range(simhash.M):
+        want = []
+        for k, v in enumerate(x.tolist()):
+            bits, at, segments = f"{v:064b}", 0, []
+            for w in widths:
+                segments.append(bits[at : at + w].count("1"))
+                at += w
+            total, ok = 0, True
+            for n in range(simhash.M - 1):
+                total += segments[(start + n) % simhash.M]
+                ok &= total <= (n + 1) * simhash.BITS / simhash.M
+            want += [k] * ok
+        assert simhash.chained(x, start).tolist() == want
 
 
 def test_buckets_that_span_batches():
-    rows = pd.DataFrame({"key": [1] * 5 + [2] * 5, "fp": [0, 1, 3, 7, 15, 0, 1, 1 << 40, 3 << 40, 9], "own": [True] * 10})
+    rows = pd.DataFrame({"key": [1] * 5 + [2] * 5, "fp": [0, 1, 3, 7, 15, 0, 1, 1 << 30, 3 << 30, 9], "own": [True] * 10})
     whole = pd.concat(simhash._bucket_links(iter([rows])))
     parts = pd.concat(simhash._bucket_links(iter([rows[k : k + 2].reset_index(drop=True) for k in range(0, 10, 2)])))
     assert sorted(map(tuple, whole.to_numpy())) == sorted(map(tuple, parts.to_numpy()))
@@ -98,3 +121,13 @@ def test_one_of_each_component_stays(spark, docs, texts):
             want[i] = want.get(i, 0) + 1
     kept = sorted([r.doc_id for r in got.collect()], key=str)
     assert set(kept) == set(want) and 40 not in kept and kept.count(7) == 2 and kept.count(30) == 1
+
+
+def test_any_columns_come_out_as_they_went_in(spark):
+    names = ["doc_id", "text", "_key", "key", "id", "row", "_kept_id", "kept_id", "group", "fp", "component_id", "a.b"]
+    rows = [(i, t, *["x"] * 10) for i, t in ((3, "one two three four five"), (3, "one two three four five"), (2, "one two three four five"), (5, ""), (4, None), (6, "quite another text with more words"))]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names[2:])))
+    assert got.columns == names
+    assert sorted(tuple(r)[:3] for r in got.collect()) == [(2, "one two three four five", "x"), (4, None, "x"), (6, "quite another text with more words", "x")]
+    same = simhash.keep_one(spark.createDataFrame([(3, "a b", "x")] * 4, "doc_id long, text string, _key string"))
+    assert same.columns == ["doc_id", "text", "_key"] and same.count() == 1
