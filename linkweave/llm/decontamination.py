@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,16 +41,35 @@ _NO_SPACES = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u2e80-\u30ff\u
 _KEEP = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
-def normal(text: str) -> tuple[bytes, np.ndarray | None]:
-    """The bytes that are compared, and of each the place in the text's UTF-8 (None if it isn't to be had)."""
-    low = text.lower()
-    raw = low.encode()
-    flat = np.frombuffer(raw.translate(_KEEP), np.uint8)
-    space = flat == 32
-    keep = ~(space & np.concatenate([[True], space[:-1]])) if len(flat) else space
-    if len(low) != len(text) or len(raw) != len(text.encode()):  # a few letters change their length
-        return flat[keep].tobytes(), None
-    return flat[keep].tobytes(), np.flatnonzero(keep)
+class Normal:
+    """The bytes of a text that are compared, and where they come from."""
+
+    def __init__(self, text: str):
+        self.source, self.characters = text, None
+        low = text.lower()
+        raw = low.encode()
+        flat = np.frombuffer(raw.translate(_KEEP), np.uint8)
+        space = flat == 32
+        keep = ~(space & np.concatenate([[True], space[:-1]])) if len(flat) else space
+        self.text, self.places = flat[keep].tobytes(), np.flatnonzero(keep)
+        if len(low) != len(text) or len(raw) != len(text.encode()):  # a few letters change their length
+            self.characters = np.repeat(np.arange(len(text)), [len(c.lower().encode()) for c in text])
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        """The start and length, in characters of the source, of what bytes a to b come from."""
+        first, last = int(self.places[a]), int(self.places[b - 1])
+        if self.characters is not None:
+            start = int(self.characters[first])
+            return start, int(self.characters[last]) + 1 - start
+        raw = self.source.encode()
+        start = len(raw[:first].decode(errors="ignore"))
+        return start, len(raw[: last + 1].decode(errors="ignore")) - start
+
+
+def normal(text: str) -> tuple[bytes, np.ndarray]:
+    """The bytes that are compared, and their places in the lower-cased text's UTF-8."""
+    whole = Normal(text)
+    return whole.text, whole.places
 
 
 def grams(raw: bytes) -> np.ndarray:
@@ -180,42 +200,32 @@ class Items:
                     yield from ((i, a, a + m) for i in self.short[m][n])
 
     def matches(self, text: str) -> list[tuple[int, int, int, int]]:
-        """(item_id, start, length, edits) in the text's characters; one for each item and overlapping stretch."""
-        raw, places = normal(text)
-        found: dict[tuple[int, int], tuple[int, int, int]] = {}
+        """(item_id, start, length, edits) in the text's characters; of an item's stretches that overlap, the nearest."""
+        whole = Normal(text)
+        raw = whole.text
+        found: dict[tuple[int, int, int], int] = {}
         for i, diagonal in self.bands(raw):
             k, m = int(self.edits[i]), int(self.sizes[i])
             low = max(0, diagonal - k)
             region = raw[low : diagonal + 3 * (k + 1) + m + k]
             exact = region.find(self.texts[i])
             hit = (exact, exact + m, 0) if exact >= 0 else align(self.texts[i], region, k)
-            if hit and ((old := found.get((i, (low + hit[0]) // max(1, m)))) is None or hit[2] < old[2]):
-                found[i, (low + hit[0]) // max(1, m)] = (low + hit[0], low + hit[1], hit[2])
+            if hit:
+                place = i, low + hit[0], low + hit[1]
+                found[place] = min(hit[2], found.get(place, hit[2]))
         out: list[tuple[int, int, int, int]] = []
-        taken: list[tuple[int, int, int]] = []
-        for (i, _), (a, b, edits) in sorted(found.items(), key=lambda x: (x[0][0], x[1][2], x[1][0])):
-            if any(j == i and c < b and a < d for j, c, d in taken):
+        taken: dict[int, list[tuple[int, int]]] = {}
+        for (i, a, b), edits in sorted(found.items(), key=lambda x: (x[0][0], x[1], x[0][1])):
+            others = taken.setdefault(i, [])
+            at = bisect_left(others, (b, 0))
+            if at and others[at - 1][1] > a:
                 continue
-            taken.append((i, a, b))
-            start, length = self._characters(text, places, a, b)
-            out.append((self.ids[i], start, length, edits))
+            others.insert(at, (a, b))
+            out.append((self.ids[i], *whole.span(a, b), edits))
         for i, a, b in self.short_places(raw):
-            out.append((i, *self._characters(text, places, a, b), 0))
+            out.append((i, *whole.span(a, b), 0))
         return out
 
-    @staticmethod
-    def _characters(text: str, places: np.ndarray | None, a: int, b: int) -> tuple[int, int]:
-        if places is None:
-            raw, k = text, [0]
-            for n in range(1, len(raw) + 1):
-                k.append(k[-1] + len(re.sub(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", " ", raw[n - 1].lower()).encode()))
-            ends = np.array(k)
-            start = int(np.searchsorted(ends, a, "right")) - 1
-            return start, max(1, min(len(text), int(np.searchsorted(ends, b))) - start)
-        raw = text.encode()
-        start = len(raw[: int(places[a])].decode(errors="ignore"))
-        return start, len(raw[: int(places[b - 1]) + 1].decode(errors="ignore")) - start
-
 
 def align(item: bytes, region: bytes, k: int) -> tuple[int, int, int] | None:
     """The stretch of the region nearest to the item, as (start, end, edits), if within k edits; the region is the band."""

@@ -101,3 +101,22 @@ def test_a_benchmark_of_short_items_only(spark):
     bench = spark.createDataFrame([(9, "42"), (8, "")], "item_id long, text string")
     assert [(r.doc_id, r.item_id, r.start, r.length, r.edits) for r in find(docs, bench).collect()] == [(1, 9, 6, 2, 0)]
     assert {r.doc_id for r in clean(docs, bench).collect()} == {2, 3}
+
+
+@pytest.mark.parametrize("before", ["İ", "İ .... ,,,, !!!! ... ", "ẞİİ ΑΣ. ---- ΣΣ ", "İ" * 40 + "\n\n\t-- ", "ŉ ǰ ΐ ΰ İ ", ""])
+@pytest.mark.parametrize("after", ["", " İ", " .. !! İİ end"])
+def test_places_where_lower_case_changes_lengths(before, after):
+    item = "The quick brown fox - jumps over İzmir, and the ẞ lazy dog"
+    text = before + " " + item + after
+    assert [(i, text[a : a + n], e) for i, a, n, e in Items([(1, item)], 0.1).matches(text)] == [(1, item, 0)]
+    short = Items([(2, "42")], 0.1)
+    assert [(text[a : a + n]) for _, a, n, _ in short.matches(before + " 42" + after) for text in [before + " 42" + after]] == ["42"]
+
+
+def test_neighbours_are_all_found():
+    item = "nineteen signs here"
+    text = "nineteen sign here nineteen signs here, nineteensigns here nineteen signs here"
+    got = [(text[a : a + n].strip(" ,"), e) for _, a, n, e in sorted(Items([(1, item)], 0.1).matches(text), key=lambda x: x[1])]
+    assert got == [("nineteen sign here", 1), (item, 0), ("nineteensigns here", 1), (item, 0)]
+    many = " ".join(["a benchmark item of some length"] * 3000)
+    assert len(Items([(1, "a benchmark item of some length")], 0.1).matches(many)) == 3000
