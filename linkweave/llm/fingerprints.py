@@ -33,8 +33,9 @@ PIECE, BASE, GROUP = 160, 4, 8
 #: Cells of each of the three tables of a group, by try.
 TABLES = (12, 32)
 ROUNDS = 10
-#: Rows of a range, about, and ranges at most (their borders are literals).
-RANGE_ROWS, RANGES = 2000, 4096
+#: UTF-8 bytes of a range's texts, about, and ranges at most: their borders are literals, looked up in two steps. Beyond
+#: that many, ranges grow; a range is sorted by a window that spills, so it needn't fit into memory.
+RANGE_BYTES, RANGES = 4 << 20, 1 << 15
 _PARAGRAPH = rf"[^\n.!?|]{{1,{PIECE}}}[\n.!?|]*|[\n.!?|]+"
 
 
@@ -160,21 +161,34 @@ def to_hex(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda c: F.concat(word(c["n"].cast("long"), 4), word(c["k"], 16), word(c["h"], 16))), "")
 
 
+def _range_of(value: Column, borders: list[int]) -> Column:
+    """How many of the ascending borders are at most the value: among every so many-th, then among those between."""
+    if not borders:
+        return F.lit(0)
+    width = max(1, int(len(borders) ** 0.5))
+    runs = [borders[k : k + width] for k in range(0, len(borders), width)]
+    longs = lambda some: F.array(*[F.lit(b).cast("long") for b in some])
+    upto = lambda some: F.size(F.filter(some, lambda b: b <= value))
+    return _let(F.greatest(upto(longs([r[0] for r in runs])) - 1, F.lit(0)), lambda run: run * width + upto(F.get(F.array(*map(longs, runs)), run)))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """Adds next_text and next_keys, of the next row in the order of doc_id (after the last: the first)."""
     rows = doc_rows(docs).withColumn("ord", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    n = rows.count()
-    count = max(1, min(RANGES, n // RANGE_ROWS))
-    borders = sorted({int(x) for x in (rows.select(F.percentile_approx("ord", [k / count for k in range(1, count)], 100_000)).first()[0] or [])}) if count > 1 else []
-    ids = F.array(*[F.lit(b).cast("long") for b in borders]) if borders else F.array().cast("array<bigint>")
-    bucket = F.size(F.filter(ids, lambda b: b <= F.col("ord")))
+    held = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    count = max(1, min(RANGES, held // RANGE_BYTES))
+    accuracy = 100_000 if count < 10_000 else 1_000_000
+    borders = sorted({int(x) for x in (rows.select(F.percentile_approx("ord", [k / count for k in range(1, count)], accuracy)).first()[0] or [])}) if count > 1 else []
+    bucket = _range_of(F.col("ord"), borders)
     least = {r["bucket"]: r["least"] for r in rows.select(bucket.alias("bucket"), "ord").groupBy("bucket").agg(F.min("ord").alias("least")).collect()}  # a row a range
     full = sorted(least)
-    before = [F.struct(F.lit(b).alias("bucket"), F.lit(least[b]).cast("long").alias("least"), F.lit(full[k - 1]).alias("before"), F.lit(int(k == 0)).alias("wrap")) for k, b in enumerate(full)]
-    if not before:
+    if not full:
         return rows.withColumn("keys", digests(F.col("text"))).withColumn("next_text", F.col("text")).withColumn("next_keys", F.col("keys"))
-    table = F.create_map(*[x for b, s in zip(full, before) for x in (F.lit(b), s)])
-    rows = rows.withColumn("bucket", bucket).withColumn("_edge", F.element_at(table, F.col("bucket"))).withColumn("keys", digests(F.col("text")))
+    # For each range the least key, the range before it (before the first: the last), and whether that wraps around.
+    at = {b: k for k, b in enumerate(full)}
+    edges = [(least.get(b), full[at.get(b, 0) - 1], int(at.get(b) == 0)) for b in range(len(borders) + 1)]
+    table = F.array(*[F.struct(F.lit(low).cast("long").alias("least"), F.lit(before).alias("before"), F.lit(wrap).alias("wrap")) for low, before, wrap in edges])
+    rows = rows.withColumn("bucket", bucket).withColumn("_edge", F.get(table, F.col("bucket"))).withColumn("keys", digests(F.col("text")))
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("wrap"), F.lit(False).alias("ghost"))
     ghost = F.struct(F.col("_edge.before").alias("bucket"), F.col("_edge.wrap").alias("wrap"), F.lit(True).alias("ghost"))
     dealt = rows.withColumn("_to", F.explode(F.when(F.col("ord") == F.col("_edge.least"), F.array(own, ghost)).otherwise(F.array(own))))

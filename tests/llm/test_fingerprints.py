@@ -26,8 +26,8 @@ def brute(texts, hashes):
 
 def test_equals_brute_force(spark, docs, texts, monkeypatch):
     hashes = {r[0]: r[1] for r in spark.createDataFrame([(t or "",) for _, t in texts], "t string").select("t", F.xxhash64("t")).collect()}
-    for rows in (2000, 5):
-        monkeypatch.setattr(fingerprints, "RANGE_ROWS", rows)
+    for size in (4 << 20, 1500):
+        monkeypatch.setattr(fingerprints, "RANGE_BYTES", size)
         got = fingerprint_rows(docs).collect()
         assert sorted(((r.doc_id, r.n_chars, r.edited_sha256, r.near_edited, r.near_next) for r in got), key=str) == brute(texts, hashes)
     marks = {}
@@ -71,3 +71,11 @@ def test_an_edit_changes_its_own_sentence_only(spark):
     rows = [(1, first), (2, first.replace("short ", "")), (3, "Nothing of it is in this. Not even a sentence.")]
     got = {r.doc_id: r for r in fingerprint_rows(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[1].near_next == 3 / 5 and got[2].near_next == 0 and got[1].near_edited >= 0.5
+
+
+def test_ranges_of_values(spark):
+    r = random.Random(2)
+    for n in (0, 1, 2, 3, 10, 50):
+        borders = sorted(r.sample(range(-100, 100), n))
+        got = spark.range(-110, 110).select("id", fingerprints._range_of(F.col("id"), borders).alias("k")).collect()
+        assert all(x.k == sum(b <= x.id for b in borders) for x in got)
