@@ -164,15 +164,19 @@ def repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD, cover:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the words of repeated windows taken out of their texts (what is left is joined by one space)."""
-    changed = repeats(docs, with_text=True).where("kept is not null").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "kept").dropDuplicates(["_id", "_key"])
-    changed = changed.select("_id", "_key", F.col("kept").alias("_kept"))
-    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    joined = docs.join(changed, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left")
-    new = {"text": F.coalesce("_kept", "text")}
+    """docs with the words of repeated windows taken out of their texts (what is left is joined by one space).
+
+    Every row and column stays, whatever it is called; n_chars, where there is one, follows a text that changes. Null
+    texts stay null.
+    """
+    changed = repeats(docs, with_text=True).where("kept is not null").select(F.col("doc_id").alias("changed_id"), F.col("text_key").alias("changed_key"), "kept").dropDuplicates(["changed_id", "changed_key"])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"))
+    joined = rows.join(changed, F.col("id").eqNullSafe(F.col("changed_id")) & (F.col("key") == F.col("changed_key")), "left")
+    field = F.col("row").getField
+    new = {"text": F.coalesce("kept", field("text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.char_length("_kept").cast(docs.schema["n_chars"].dataType))
-    return joined.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+        new["n_chars"] = F.when(F.col("kept").isNull(), field("n_chars")).otherwise(F.char_length("kept").cast(docs.schema["n_chars"].dataType))
+    return joined.select(*[new.get(c, field(c)).alias(c) for c in docs.columns])
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:

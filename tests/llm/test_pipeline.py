@@ -56,3 +56,26 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_other_columns_pass_all_stages(spark, tmp_path):
+    """Columns that are called like the operators' own, null and repeated rows, one text that is longer than any table's."""
+    extra = ["_id", "_key", "_kept", "_kept_id", "key", "id", "row", "kept", "changed_id", "group", "fp", "text_key", "score", "toxic", "held_out", "item_id", "a.b"]
+    r = random.Random(3)
+    text = lambda n: " ".join(f"{r.choice('bcdfgh')}{r.choice('aeiou')}{r.randrange(900)}" for _ in range(n))
+    passage = text(50)
+    docs = [(1, text(60)), (2, text(30) + " " + passage), (3, passage + " " + text(20)), (4, None), (4, None), (None, text(40)), (5, text(25_000)), (6, text(50)), (6, text(50))]
+    schema = "doc_id long, text string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra)
+    frame = spark.createDataFrame([(i, t, None if t is None else len(t), *[f"{c}{k}" for c in extra]) for k, (i, t) in enumerate(docs)], schema)
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, text(35)), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for k, (name, step) in enumerate(corpus_pipeline.STAGES[:-1]):
+        before = frame
+        step(spark, before, str(tmp_path)).write.parquet(f"{tmp_path}/{k}.parquet")
+        frame = spark.read.parquet(f"{tmp_path}/{k}.parquet")
+        assert frame.columns == before.columns, name
+        assert all(str(x["_id"])[3:] == str(x["a.b"])[3:] == str(x["row"])[3:] for x in frame.collect())
+    rows = frame.collect()
+    assert sorted(int(x["_id"][3:]) for x in rows if x.doc_id != 4) == [0, 1, 2, 5, 6, 7, 8] and sum(x.doc_id == 4 for x in rows) == 1
+    assert all(passage not in (x.text or "") for x in rows) and max(len(x.text or "") for x in rows) == len(docs[6][1])
+    assert corpus_pipeline.STAGES[-1][1](spark, frame, str(tmp_path)).agg({"length": "sum"}).first()[0] > 25_000
