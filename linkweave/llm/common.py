@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import struct
 import tempfile
 import uuid
@@ -77,6 +78,12 @@ def stage_buckets(df: DataFrame, name: str, column: str, n: int) -> DataFrame:
     return spark.table(table)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the files of shuffles that nothing refers to any more, which it does as the driver's JVM collects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def drop_staged(df: DataFrame) -> None:
     """Deletes what stage() wrote for df, once nothing reads it any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
@@ -158,7 +165,7 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 # --- counts of keys over all blocks ---------------------------------------------------------------------------------
 
 #: Keys that one task of an exchange holds at once, about.
-BUCKET_KEYS = 1 << 21
+BUCKET_KEYS = 1 << 20
 
 
 def encode_keys(keys: np.ndarray) -> bytes:
