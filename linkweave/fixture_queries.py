@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from .operators.graph import LinkGraph
 from .operators.store import shared_dir
 from .plans.build import graph_from_tables
 from .plans.response import path_response, path_summary
+from .sources.dump import read_dump, read_plain_dump
 
 START, GOAL = 27, 126
 
@@ -101,7 +102,8 @@ def _levels(view: Views, start: int = START) -> tuple[DataFrame, DataFrame]:
     while side.size:
         side.advance()
         side.weigh()
-        parents = side.levels[-1] if parents is None else parents.unionByName(side.levels[-1])
+        level = side.levels[-1].select("child", "parent")
+        parents = level if parents is None else parents.unionByName(level)
     return side.seen, parents
 
 
@@ -125,6 +127,52 @@ def _unquoted(view: Views) -> DataFrame:
     return line.select(F.explode(insert_rows(F.col("value"), False)).alias("t")).select(unquoted_fields(F.col("t")).alias("f")).select(*[F.get("f", F.lit(k)).alias(f"c{k}") for k in range(3)])
 
 
+#: Columns of the page dump that is written, in its order, which isn't that of the readers.
+_PAGE_HEADER = ("page_id", "page_namespace", "page_title", "page_is_redirect", "page_len")
+
+
+def _write_dump(view: Views, table: str, header: tuple[str, ...], tuples: DataFrame, compression: str) -> str:
+    """tuples(t, k) as a dump's lines: comments, CREATE TABLE, and an INSERT for each k."""
+    head = ["-- a dump (1,2)", f"DROP TABLE IF EXISTS `{table}`;", f"CREATE TABLE `{table}` (", *[f"  `{c}` varbinary(255) NOT NULL," for c in header], f"  PRIMARY KEY (`{header[0]}`)", ") ENGINE=InnoDB;"]
+    inserts = tuples.groupBy("k").agg(F.concat(F.lit(f"INSERT INTO `{table}` VALUES "), F.array_join(F.collect_list("t"), ","), F.lit(";")).alias("value"))
+    lines = view.spark.createDataFrame([(line,) for line in head], "value string").coalesce(1).union(inserts.select("value"))
+    path = f"{shared_dir(view.spark)}/dump-{os.urandom(8).hex()}/{table}.sql" + (".gz" if compression == "gzip" else "")
+    lines.coalesce(1).write.option("compression", compression).text(path)
+    return path
+
+
+def _page_file(view: Views) -> DataFrame:
+    """The page view, through a compressed dump with a header, escapes and a column that isn't asked for."""
+    key = F.col("page_id").cast("long")
+    title = F.when(key % 7 == 3, F.concat(F.lit("P\\'"), "page_id", F.lit(",(x)"))).otherwise(F.col("page_title"))
+    body = F.concat(F.lit("("), "page_id", F.lit(","), "page_namespace", F.lit(",'"), title, F.lit("',"), "page_is_redirect", F.lit(",NULL)"))
+    path = _write_dump(view, "page", _PAGE_HEADER, view.page.select(body.alias("t"), (key % 23).alias("k")), "gzip")
+    return read_dump(view.spark, path, "page", ["page_title", "page_id", "page_is_redirect", "page_namespace"]).drop("_pos")
+
+
+def _links_file(view: Views) -> DataFrame:
+    """The pagelinks view, through a plain dump that is read by position."""
+    body = F.concat(F.lit("("), F.concat_ws(",", "pl_from", "pl_from_namespace", "pl_target_id"), F.lit(")"))
+    path = _write_dump(view, "pagelinks", ("a", "b", "c"), view.pagelinks.select(body.alias("t"), F.pmod(F.hash("pl_from"), F.lit(40)).alias("k")), "none")
+    return read_plain_dump(view.spark, path, "pagelinks", ["pl_from", "pl_from_namespace", "pl_target_id"]).drop("_pos")
+
+
+def _row_counts(view: Views) -> DataFrame:
+    """name, read, kept: rows of each dump, and those that its scan keeps (links: that lead to a page)."""
+    page, target = R.page_rows(view.page), R.linktarget_rows(view.linktarget)
+    pairs = (("page", view.page, page), ("redirect", view.redirect, R.redirect_rows(view.redirect, page)), ("linktarget", view.linktarget, target), ("pagelinks", view.pagelinks, R.resolved_links(view.pagelinks, target, page)))
+    rows = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), F.lit(kind).alias("kind"), "n") for name, *both in pairs for kind, df in zip(("read", "kept"), both)]
+    return reduce(DataFrame.unionByName, rows).groupBy("name").agg(*[F.max(F.when(F.col("kind") == kind, F.col("n"))).alias(kind) for kind in ("read", "kept")])
+
+
+def _response_fields(view: Views) -> DataFrame:
+    """The JSON answer taken apart; its time is only held to be there."""
+    body = F.from_json("response", "paths array<array<bigint>>, num_paths bigint, shortest_path_length bigint, time_spent_ms bigint")
+    row = path_response(view.kept(), START, GOAL).select(body.alias("r"))
+    paths = F.array_join(F.transform("r.paths", lambda p: F.array_join(p, ">")), "|")
+    return row.select(paths.alias("paths"), "r.num_paths", "r.shortest_path_length", (F.col("r.time_spent_ms") >= 0).alias("timed"))
+
+
 def _keep_last(view: Views) -> DataFrame:
     rows = view.page.select((F.col("page_id").cast("long") % 17).alias("k"), F.col("page_id").cast("long").alias("id"), F.col("page_id").cast("long").alias("ord"))
     return R.keep_last(rows, "k", "ord")
@@ -170,6 +218,11 @@ _READ = {
     "all_shortest_paths_unreachable": (lambda v: _text(_shortest(v, 27, 7), "path"), _sql("SELECT array_to_string(path, '>') AS path FROM found", _paths(27, 7))),
     "path_summary": (lambda v: path_summary(_shortest(v)), _sql("SELECT count(*) AS num_paths, CAST(coalesce(min(len(path)), 0) AS BIGINT) AS shortest_path_length FROM found", _paths(START, GOAL))),
     "path_response_json": (lambda v: path_response(v.kept(), START, GOAL), None),
+    "path_response_fields": (_response_fields, _sql("SELECT array_to_string(list_transform(list_sort(list(path)), lambda p: array_to_string(p, '>')), '|') AS paths, count(*) AS num_paths, CAST(coalesce(min(len(path)), 0) AS BIGINT) AS shortest_path_length, true AS timed FROM found", _paths(START, GOAL))),
+    "row_counts": (_row_counts, _sql("""SELECT 'page' AS name, (SELECT count(*) FROM page) AS "read", (SELECT count(*) FROM p0) AS kept UNION ALL SELECT 'redirect', (SELECT count(*) FROM redirect), (SELECT count(*) FROM rd0)
+UNION ALL SELECT 'linktarget', (SELECT count(*) FROM linktarget), (SELECT count(*) FROM lt0) UNION ALL SELECT 'pagelinks', (SELECT count(*) FROM pagelinks), (SELECT count(*) FROM lk)""")),
+    "dump_file_page": (_page_file, _sql("SELECT CAST(page_id AS VARCHAR) AS page_id, CASE WHEN page_id % 7 = 3 THEN concat('P', chr(39), page_id, ',(x)') ELSE page_title END AS page_title, CAST(page_namespace AS VARCHAR) AS page_namespace, CAST(page_is_redirect AS VARCHAR) AS page_is_redirect FROM page")),
+    "dump_file_links": (_links_file, _sql("SELECT CAST(pl_from AS VARCHAR) AS pl_from, CAST(pl_from_namespace AS VARCHAR) AS pl_from_namespace, CAST(pl_target_id AS VARCHAR) AS pl_target_id FROM pagelinks")),
     "graph_stats": (lambda v: v.kept().stats(), _sql(_stats_sql())),
     "offsets_tail": (lambda v: v.kept().offsets_tail(), _sql("SELECT idx, off FROM off ORDER BY idx DESC LIMIT 10")),
     "graph_roundtrip": (_round_trip, _sql("SELECT src, dst FROM e")),

@@ -70,16 +70,17 @@ class LinkGraph:
         return self._once("indexed-edges", make)
 
     def pairs(self, reverse: bool = False) -> DataFrame:
-        """near, far, n: each pair of linked pages with its number of links, in ranges of the end that a search comes from."""
+        """near, far, links: each pair of linked pages, and how many links a search would follow from far, duplicates
+        counted; in ranges of the end that the search comes from."""
+        near, far = ("dst", "src") if reverse else ("src", "dst")
 
-        def make(side: bool) -> DataFrame:
-            if side:
-                rows = self.pairs().select(F.col("far").alias("near"), F.col("near").alias("far"), "n")
-            else:
-                rows = self.links.groupBy(F.col("src").alias("near"), F.col("dst").alias("far")).agg(F.count("*").alias("n"))
+        def make() -> DataFrame:
+            pairs = stage(self.links.select(F.col(near).alias("near"), F.col(far).alias("far")).distinct(), "distinct-links")
+            onward = stage(self.links.groupBy(F.col(near).alias("far")).agg(F.count("*").alias("links")), "link-counts")
+            rows = pairs.join(onward, "far", "left").select("near", "far", F.coalesce("links", F.lit(0)).cast("long").alias("links"))
             return rows.repartitionByRange("near", "far").sortWithinPartitions("near", "far")
 
-        return self._once(f"pairs-{reverse}", lambda: make(reverse))
+        return self._once(f"pairs-{reverse}", make)
 
     def adjacency(self, reverse: bool = False) -> DataFrame:
         """Each vertex that has any with its neighbours, ascending, duplicates included."""

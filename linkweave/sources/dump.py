@@ -2,7 +2,8 @@
 
 A dump is read by Spark's text source (a .gz file is decoded on the way, as one partition, so its lines are dealt out
 again at once; a plain file is split between lines by Spark). Columns are found by the names in the dump's own CREATE
-TABLE, and a name that isn't there is an error. Every row has _pos, its place in the file, for keep-last rules.
+TABLE, and a name that isn't there is an error. Every row has _pos, its place in the file, for keep-last rules. Bytes
+that aren't UTF-8 come out as the replacement character and spoil nothing else.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import shutil
 import urllib.request
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dump_text import insert_rows, quoted_fields, unquoted_fields
@@ -43,6 +44,17 @@ def fetch(language: str, table: str, folder: str, opener: Callable = urllib.requ
     return path
 
 
+def fetch_plain(language: str, table: str, folder: str, opener: Callable = urllib.request.urlopen) -> str:
+    """The plain file, decompressed as it comes in: the compressed one is never on disk."""
+    path = dump_path(folder, language, table, compressed=False)
+    if not os.path.exists(path):
+        os.makedirs(folder, exist_ok=True)
+        with opener(dump_url(language, table)) as source, gzip.GzipFile(fileobj=source) as plain, open(path + ".part", "wb") as out:
+            shutil.copyfileobj(plain, out, 1 << 20)
+        os.replace(path + ".part", path)
+    return path
+
+
 def gunzip(path: str) -> str:
     """The plain file beside a .gz file, which Spark can split; one that is there is used as it is."""
     plain = path.removesuffix(".gz")
@@ -76,23 +88,29 @@ def header_columns(spark: SparkSession, path: str) -> list[str]:
     return names
 
 
-def _inserts(spark: SparkSession, path: str, table: str, parts: int | None, quoted: bool) -> DataFrame:
-    lines = _lines(spark, path, parts).where(F.col("value").startswith(f"INSERT INTO `{table}`"))
+def inserts(lines: DataFrame, table: str, quoted: bool = True) -> DataFrame:
+    """A row for each tuple of the table's INSERT lines: _row, its place in the line, _body, its inside, and other columns."""
     values = F.regexp_replace("value", rf"^INSERT INTO `{re.escape(table)}`[^(]*?VALUES\s*", "")
-    return lines.select("_line", F.posexplode(insert_rows(values, quoted)).alias("_row", "_body"))
+    rest = [c for c in lines.columns if c != "value"]
+    return lines.where(F.col("value").startswith(f"INSERT INTO `{table}`")).select(*rest, F.posexplode(insert_rows(values, quoted)).alias("_row", "_body"))
 
 
-def read_dump(spark: SparkSession, path: str, table: str, columns: list[str], parts: int | None = None) -> DataFrame:
-    """The named columns as text, in the order asked for, and _pos."""
-    header = header_columns(spark, path)
+def named_fields(table: str, header: list[str], columns: list[str]) -> list[Column]:
+    """The columns asked for out of _f, by the header's names."""
     missing = [c for c in columns if c not in header]
     if missing:
         raise ValueError(f"{table} has no column {', '.join(missing)}; it has {', '.join(header) or 'none'}")
-    rows = _inserts(spark, path, table, parts, True).withColumn("_f", quoted_fields(F.col("_body")))
-    return rows.select(*[F.get("_f", F.lit(header.index(c))).alias(c) for c in columns], F.struct("_line", "_row").alias("_pos"))
+    return [F.get("_f", F.lit(header.index(c))).alias(c) for c in columns]
+
+
+def read_dump(spark: SparkSession, path: str, table: str, columns: list[str], parts: int | None = None) -> DataFrame:
+    """The named columns as text, in the order asked for, and _pos."""
+    named = named_fields(table, header_columns(spark, path), columns)
+    rows = inserts(_lines(spark, path, parts), table).withColumn("_f", quoted_fields(F.col("_body")))
+    return rows.select(*named, F.struct("_line", "_row").alias("_pos"))
 
 
 def read_plain_dump(spark: SparkSession, path: str, table: str, columns: list[str], parts: int | None = None) -> DataFrame:
     """The first columns by position, of a dump whose tuples have no strings."""
-    rows = _inserts(spark, path, table, parts, False).withColumn("_f", unquoted_fields(F.col("_body")))
+    rows = inserts(_lines(spark, path, parts), table, False).withColumn("_f", unquoted_fields(F.col("_body")))
     return rows.select(*[F.get("_f", F.lit(k)).alias(c) for k, c in enumerate(columns)], F.struct("_line", "_row").alias("_pos"))

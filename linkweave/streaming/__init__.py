@@ -1 +1,5 @@
-"""There is nothing here: the engine's inputs are finite dumps, and no operator of it has a streaming form."""
+"""Dumps that come in as files of a folder, read as a stream."""
+
+from .dumps import append_new, stream_dump
+
+__all__ = ["append_new", "stream_dump"]

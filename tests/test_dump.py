@@ -130,3 +130,53 @@ def test_progress(spark):
     frame, report = observed(spark.range(1000), "numbers")
     assert frame.count() == 1000 and report()["rows"] == 1000
     assert clock(3725) == "01h02m05s" and clock(remaining(0, 5, 1)) == "N/A" and remaining(10, 30, 5) == 10
+
+
+def test_decompressed_as_it_comes_in(tmp_path):
+    from linkweave.sources import fetch_plain
+
+    raw = gzip.compress(b"first") + gzip.compress(b" second")
+    path = fetch_plain("xx", "page", f"{tmp_path}/d", lambda url: io.BytesIO(raw))
+    assert open(path, "rb").read() == b"first second" and path == dump_path(f"{tmp_path}/d", "xx", "page", False)
+    assert fetch_plain("xx", "page", f"{tmp_path}/d", None) == path
+
+
+def test_bytes_that_are_not_utf8(spark, tmp_path):
+    path = f"{tmp_path}/t.sql"
+    with open(path, "wb") as f:
+        f.write(dump("t", "(1,'A'),(2,'B@C'),(3,'é')", ("a", "b")).encode().replace(b"@", b"\xff"))
+    got = read_dump(spark, path, "t", ["a", "b"]).orderBy("_pos").drop("_pos").collect()
+    assert [tuple(r) for r in got] == [("1", "A"), ("2", "B\ufffdC"), ("3", "é")]
+
+
+def test_header_after_many_lines(spark, tmp_path):
+    path = f"{tmp_path}/t.sql"
+    with open(path, "w") as f:
+        f.write("-- a line\n" * 5000 + dump("t", "(1,'A')", ("a", "b")))
+    assert header_columns(spark, path) == ["a", "b"]
+
+
+def test_build_and_ask_by_command(spark, tmp_path, monkeypatch, capsys):
+    from linkweave import __main__ as command
+
+    for table in HEADERS:
+        with open(dump_path(str(tmp_path), "xx", table, False), "w") as f:
+            f.write(dump(table))
+    monkeypatch.setenv("WIKI_LANG", "xx")
+    assert command.main(["build", str(tmp_path), f"{tmp_path}/graph"]) == 0
+    assert "MiB/s" in capsys.readouterr().out
+    assert command.main(["path", f"{tmp_path}/graph", "99", "5"]) == 0
+    assert '"paths":[[99,1,5]]' in capsys.readouterr().out
+    assert command.main(["stats", f"{tmp_path}/graph"]) == 0 and command.main(["path"]) == 2
+    assert '"vertices":8' in capsys.readouterr().out
+
+
+def test_progress_lines(spark):
+    from linkweave.plans.progress import Watch, progress_line
+
+    assert progress_line("x", 0.5, 4 << 20, 2.0).startswith("x: 2.0 of 4.0 MiB, 1.0 MiB/s") and progress_line("x", 0.5, 4 << 20, 2.0).endswith("00h00m02s left")
+    assert progress_line("x", 0.0, 4, 2.0).endswith("N/A left")
+    said = []
+    with Watch(spark, "w", 1 << 20, said.append, 0.05):
+        spark.range(200_000_000).selectExpr("sum(hash(id))").collect()
+    assert len(said) > 1 and said[-1].startswith("w: 1.0 of 1.0 MiB")
