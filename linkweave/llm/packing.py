@@ -67,9 +67,14 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
-    """Sequences that no packing can do without: by ids, and by pieces too large to share one with a large piece."""
+    """Sequences that no packing can do without: by ids, by pieces too large to share one with a large piece, and by
+    pieces of which at most k fit into one (a piece of more than m parts of k + 1 counts as m of k)."""
     sizes = np.arange(len(counts))
     best = -(-int((sizes * counts).sum()) // capacity)
+    for k in range(1, 33):
+        # In units of one in k * (k + 1): a length that is m parts of k + 1 exactly keeps its share.
+        parts, over = np.divmod(sizes * (k + 1), capacity)
+        best = max(best, -(-int((np.where(over, parts * (k + 1), parts * k) * counts).sum()) // (k * (k + 1))))
     for k in range(1, capacity // 2 + 1):
         large, mid, low = counts[capacity - k + 1 :].sum(), (sizes * counts)[k : capacity - k + 1], counts[capacity // 2 + 1 : capacity - k + 1]
         free = int(low.sum()) * capacity - int((sizes[capacity // 2 + 1 : capacity - k + 1] * low).sum())

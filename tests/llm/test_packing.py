@@ -36,6 +36,17 @@ def test_as_few_as_brute_force(seed):
     assert sum(n for _, n in patterns) == fewest(sizes, 32)
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_no_packing_is_below_the_bound(seed):
+    r = random.Random(seed)
+    sizes = [r.choice((r.randint(1, 30), r.randint(8, 16), r.choice((8, 11, 16)))) for _ in range(r.randint(1, 8))]
+    assert lower_bound(counts_of(sizes, 32), 32) <= fewest(sizes, 32)
+
+
+def test_bound_by_pieces_of_which_two_fit():
+    assert lower_bound(counts_of(np.arange(690, 1024), 2048), 2048) == 167
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_plans_are_whole_and_near_the_bound(seed):
     r = np.random.default_rng(seed)
