@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import struct
 import tempfile
 import uuid
@@ -18,6 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Whether a query's shuffles are deleted as it ends.
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _local_dir: str | None = None
 _staged: list[tuple[SparkSession, str, str | None]] = []
 
@@ -57,14 +58,20 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str = "zstd", free: bool = False) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends there, and lost executors lose nothing.
 
-    The table goes when the driver ends, since results that are still lazy read it.
+    The table goes when the driver ends, since results that are still lazy read it. free: the shuffles that made it go
+    once it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    before = spark.conf.get(_FREE, "false")
+    spark.conf.set(_FREE, "true" if free else before)
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(_FREE, before)
     _staged.append((spark, path, None))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -78,12 +85,6 @@ def stage_buckets(df: DataFrame, name: str, column: str, n: int) -> DataFrame:
     return spark.table(table)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the files of shuffles that nothing refers to any more, which it does as the driver's JVM collects."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def drop_staged(df: DataFrame) -> None:
     """Deletes what stage() wrote for df, once nothing reads it any more."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:

@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEYED_SCHEMA, buckets, decode_counts, decode_keys, drop_staged, encode_counts, encode_keys, free_shuffles, keyed_rows, mix, stage, stage_buckets, to_blocks, unpack, word_keys
+from .common import KEYED_SCHEMA, buckets, decode_counts, decode_keys, drop_staged, encode_counts, encode_keys, keyed_rows, mix, stage, stage_buckets, to_blocks, unpack, word_keys
 
 FOLDS, ADD, ORDER = 10, 0.1, 3
 END = np.uint64(0x2545F4914F6CDD1C)  # keys of tokens are even
@@ -321,15 +321,13 @@ def score(docs: DataFrame, folds: int = FOLDS, block_bytes: int = LM_BLOCK_BYTES
     def sums(df: DataFrame, *names: str):
         return df.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in names]).first()
 
-    grams = stage(_exchange(own.mapInPandas(gram_keys, SENT)), "lm-grams", "none")
+    grams = stage(_exchange(own.mapInPandas(gram_keys, SENT)), "lm-grams", "none", free=True)
     n, v, once, twice = sums(grams, "tokens", "types", "once", "twice")
     discounts = (_discount(once, twice), 0.5)
-    free_shuffles(docs.sparkSession)
     answers = grams.select("blk", "r", "answer", F.lit(0).alias("kind"))
     if order > 2:
-        triples = stage(_exchange(each_block(answers, triple_keys, SENT)), "lm-triples", "none")
+        triples = stage(_exchange(each_block(answers, triple_keys, SENT)), "lm-triples", "none", free=True)
         discounts = (discounts[0], _discount(*sums(triples, "once", "twice")))
-        free_shuffles(docs.sparkSession)
         answers = answers.unionByName(triples.select("blk", "r", "answer", F.lit(2).alias("kind")))
     both = answers.unionByName(_exchange(each_block(answers, follower_keys, SENT)).select("blk", "r", "answer", F.lit(1).alias("kind")))
     return each_block(both, lambda a, b: traverse(a, b, n, v, discounts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
