@@ -3,7 +3,7 @@ import pytest
 N = 600
 
 
-@pytest.mark.parametrize("name", ["bfs_levels"])
+@pytest.mark.parametrize("name", ["bfs_levels", "bfs_parents"])
 def test_only_levels_beyond_its_bound_are_missing_from_the_sql(spark, tmp_path, name):
     """On 27 levels of two pages the query gives what the SQL gives with a bound above them; at levels up to 25, what the SQL gives as it is."""
     duckdb = pytest.importorskip("duckdb")
