@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import struct
 import tempfile
 import uuid
@@ -10,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Whether a query's shuffles are deleted as it ends.
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a batch of rows that goes to Python, about.
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _local_dir: str | None = None
 _staged: list[tuple[SparkSession, str, str | None]] = []
 
@@ -58,20 +62,23 @@ def _delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def stage(df: DataFrame, name: str, compression: str = "zstd", free: bool = False) -> DataFrame:
+def stage(df: DataFrame, name: str, compression: str = "zstd", free: bool = False, batch: int | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: lineage ends there, and lost executors lose nothing.
 
     The table goes when the driver ends, since results that are still lazy read it. free: the shuffles that made it go
-    once it is written.
+    once it is written. batch: bytes of the batches that Python gets meanwhile, about; Spark's own setting where None.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_FREE, "false")
-    spark.conf.set(_FREE, "true" if free else before)
+    meanwhile = ({_FREE: "true"} if free else {}) | ({_BATCH: str(batch)} if batch else {})
+    before = {k: spark.conf.get(k) for k in meanwhile}
+    for k, v in meanwhile.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", compression).parquet(path)
     finally:
-        spark.conf.set(_FREE, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     _staged.append((spark, path, None))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -91,6 +98,14 @@ def drop_staged(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def give_back() -> None:
+    """Returns what this worker has freed to the system: Arrow's pool and the C library keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
 #: UTF-8 bytes of text in a block, but for a block that holds a single longer document.
 BLOCK_BYTES = 4 << 20
 BLOCK_SCHEMA = "blk long, docs long, words long, payload binary"

@@ -19,13 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_rows, stage
+from .common import doc_rows, give_back, stage
 from .range_coder import decode, encode
 from .tokens import encoder, with_end
 
 VOCABULARY, END = "byte_bpe_50k.json", 2
 #: Ids of a segment, but for one that holds a single longer document.
 SEGMENT_IDS = 1024 * 8192
+#: Documents of a segment at most; bytes of text that a writing task gets at once, but for a longer document.
+SEGMENT_DOCS, BATCH_BYTES = 1 << 16, 4 << 20
 SEGMENT = "shard int, segment int, before long, ids long, docs binary, blocks binary"
 
 
@@ -43,11 +45,11 @@ def _write(vocabulary: str, path: str | None, most: int):
         ids: list[np.ndarray] = []
         for part in parts:
             texts, names = part["text"].tolist(), [None if pd.isna(i) else int(i) for i in part["doc_id"]]
-            for lo in range(0, len(texts), 512):
-                flat, many = with_end(*code(texts[lo : lo + 512]), END)
+            for lo in range(0, len(texts), 2048):
+                flat, many = with_end(*code(texts[lo : lo + 2048]), END)
                 ends = np.cumsum(many).tolist()
-                for name, n, e in zip(names[lo : lo + 512], many.tolist(), ends):
-                    if docs and held + n > most:
+                for name, n, e in zip(names[lo : lo + 2048], many.tolist(), ends):
+                    if docs and (held + n > most or len(docs) == SEGMENT_DOCS):
                         yield _segment(shard, segment, before, docs, sizes, np.concatenate(ids))
                         segment, before, held, docs, sizes, ids = segment + 1, before + held, 0, [], [], []
                     docs.append(name)
@@ -57,6 +59,8 @@ def _write(vocabulary: str, path: str | None, most: int):
                 ids = [np.concatenate(ids)] if ids else ids
         if docs:
             yield _segment(shard, segment, before, docs, sizes, np.concatenate(ids))
+        ids = []
+        give_back()
 
     return run
 
@@ -87,9 +91,11 @@ def read(segments: DataFrame, with_ids: bool = False) -> DataFrame:
                 if with_ids:
                     out["ids"] = [ids[e - s : e].tolist() for e, s in zip(ends.tolist(), sizes.tolist())]
                 yield out
+                del out, ids, raw
+                give_back()
 
     return segments.mapInPandas(run, READ + (", ids array<int>" if with_ids else ""))
 
 
 def op1_token_files(spark, sf_dir: str) -> DataFrame:
-    return read(stage(write(spark.read.parquet(f"{sf_dir}/documents.parquet")), "token-files", "none"))
+    return read(stage(write(spark.read.parquet(f"{sf_dir}/documents.parquet")), "token-files", "none", batch=BATCH_BYTES))

@@ -67,10 +67,13 @@ class Encoder:
     """encode(texts): all ids as one array of unsigned 16-bit numbers, and how many each text has.
 
     Texts are cut on their bytes, many at once. A chunk of at most 16 bytes is known by its first and its last 8 bytes
-    and its length, exactly; its number is found in a table of open addresses. Longer chunks are in a dictionary.
+    and its length, exactly; its number is found in a table of open addresses. Longer chunks are in a dictionary. Chunks
+    are forgotten beyond REMEMBERED of them, POOL ids, or LONG bytes of that dictionary (ENTRY for each besides its own), so
+    all of it takes some 160 MB at most, besides what AT_ONCE characters bring.
     """
 
-    REMEMBERED = 2_000_000
+    REMEMBERED, POOL, LONG, ENTRY = 2_000_000, 12_000_000, 16 << 20, 150
+    KEPT = 64  # bytes of a chunk that stays when others are forgotten
     AT_ONCE = 2_000_000
     SLOTS = 21
 
@@ -87,23 +90,28 @@ class Encoder:
         self.slots = np.zeros(1 << self.SLOTS, np.int32)  # a chunk's number and one
         self.keys = np.zeros((3, 1 << 14), np.uint64)
         self.long: dict[bytes, int] = {}
+        self.room = 0  # bytes that the dictionary takes, about
         self.known = 0
         self.pool, self.used = np.zeros(1 << 16, np.uint16), 0
-        self.first, self.many, self.seen = (np.zeros(1 << 14, np.int64) for _ in range(3))
+        self.first, self.many, self.seen = (np.zeros(1 << 14, np.int32) for _ in range(3))
 
     def _thin(self) -> None:
-        """Forgets chunks that were seen once since the last time, or all but the most frequent if those are many."""
-        keep = np.flatnonzero(self.seen[: self.known] > 1)
-        if len(keep) > self.REMEMBERED // 2:
-            keep = np.sort(keep[np.argsort(-self.seen[keep], kind="stable")[: self.REMEMBERED // 2]])
-        keys, first, many = self.keys[:, keep], self.first[keep], self.many[keep]
+        """Forgets chunks that were seen once since the last time, or all but the most frequent if those are many, and very long ones."""
+        stay = self.seen[: self.known] > 1
+        stay[[n for c, n in self.long.items() if len(c) > self.KEPT]] = False
+        keep = np.flatnonzero(stay)
+        keep = keep[np.argsort(-self.seen[keep], kind="stable")[: self.REMEMBERED // 2]]
+        long = self.keys[2, keep] == 0
+        fits = (np.cumsum(self.many[keep], dtype=np.int64) <= self.POOL // 2) & (~long | (np.cumsum(long) * (self.KEPT + self.ENTRY) <= self.LONG // 2))
+        keep = np.sort(keep[fits])
+        keys, first, many = self.keys[:, keep], self.first[keep].astype(np.int64), self.many[keep].astype(np.int64)
         ends = np.cumsum(many)
         pool = self.pool[np.repeat(first - ends + many, many) + np.arange(int(many.sum()))]
         place = dict(zip(keep.tolist(), range(len(keep))))
         long = {c: place[n] for c, n in self.long.items() if n in place}
         self._forget()
         self._add(keys, pool, many)
-        self.long = long
+        self.long, self.room = long, sum(map(len, long)) + self.ENTRY * len(long)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         h = keys[0] * np.uint64(0x9E3779B97F4A7C15) + keys[1] * np.uint64(0xC2B2AE3D27D4EB4F) + keys[2] * np.uint64(0xD6E8FEB86659FD93)
@@ -114,10 +122,11 @@ class Encoder:
         """Chunks under the next numbers; a length of zero: the chunk is in the dictionary."""
         at, end = self.known, self.known + len(many)
         while end > len(self.first):
-            self.first, self.many, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.many, self.seen))
-            self.keys = np.concatenate([self.keys, np.zeros_like(self.keys)], axis=1)
+            more = len(self.first) // 4
+            self.first, self.many, self.seen = (np.concatenate([x, np.zeros(more, np.int32)]) for x in (self.first, self.many, self.seen))
+            self.keys = np.concatenate([self.keys, np.zeros((3, more), np.uint64)], axis=1)
         while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, self.pool])
+            self.pool = np.concatenate([self.pool, self.pool[: len(self.pool) // 4]])
         self.pool[self.used : self.used + len(ids)] = ids
         self.first[at:end], self.many[at:end] = self.used + np.cumsum(many) - many, many
         self.keys[:, at:end] = keys
@@ -236,14 +245,15 @@ class Encoder:
             new = [c for c in dict.fromkeys(chunks) if c not in self.long]
             if new:
                 self.long.update(zip(new, range(self.known, self.known + len(new))))
+                self.room += sum(map(len, new)) + self.ENTRY * len(new)
                 self._learn([c.decode() for c in new], np.zeros((3, len(new)), np.uint64))
             at[long] = [self.long[c] for c in chunks]
         many = self.many[at]
-        upto = np.cumsum(many)
+        upto = np.cumsum(many, dtype=np.int64)
         ids = self.pool[np.repeat(self.first[at] - upto + many, many) + np.arange(int(many.sum()))]
         counts = np.concatenate([[0], upto])[np.concatenate([[0], np.searchsorted(start, ends)])]
-        self.seen[: self.known] += np.bincount(at, minlength=self.known)
-        if self.known > self.REMEMBERED:
+        np.add.at(self.seen, at, np.int32(1))
+        if self.known > self.REMEMBERED or self.used > self.POOL or self.room > self.LONG:
             self._thin()
         return ids, np.diff(counts)
 

@@ -1,3 +1,5 @@
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -98,3 +100,71 @@ def test_files_hold_all_documents_in_order(spark, docs, texts, most):
 
 def test_empty(none):
     assert read(write(none)).collect() == []
+
+
+def test_what_an_encoder_remembers_is_bounded(monkeypatch):
+    """Long chunks count by their bytes, and all by their ids; what is forgotten is encoded again, alike."""
+    for name, most in (("LONG", 40_000), ("POOL", 20_000), ("AT_ONCE", 3000)):
+        monkeypatch.setattr(Encoder, name, most, raising=False)
+    r, e = np.random.default_rng(3), Encoder("byte_bpe_50k.json")
+    words = ["".join(r.choice(list("abcdxyz019"), n)) for n in r.integers(17, 120, 3000).tolist()]
+    texts = [" ".join(words[k : k + 20]) for k in range(0, 3000, 10)]
+    for _ in range(2):
+        ids, sizes = e.encode(texts)
+        assert sum(map(len, e.long)) <= 40_000 and e.used <= 20_000
+        ends = np.cumsum(sizes)
+        assert [ids[b - a : b].tolist() for a, b in zip(sizes, ends)] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """However long the documents, a worker gets few bytes at once; the session's setting stays as it was."""
+    import pandas as pd
+
+    from linkweave.llm.common import stage
+
+    def sizes(parts):
+        for p in parts:
+            yield pd.DataFrame({"n": [int(p["text"].str.len().sum())]})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    rows = spark.range(0, 1000, 1, 1).selectExpr("repeat('x', 1000) AS text").mapInPandas(sizes, "n int")
+    got = [r.n for r in stage(rows, "sizes", batch=100_000).collect()]
+    assert sum(got) == 1_000_000 and max(got) <= 200_000
+    assert spark.conf.get(key) == before
+
+
+def test_segments_hold_a_bounded_number_of_documents(docs, monkeypatch):
+    """Documents of one id each don't fill a segment by their ids."""
+    monkeypatch.setattr("linkweave.llm.token_files.SEGMENT_DOCS", 3, raising=False)
+    segments = [len(s.docs) // 17 for s in write(docs.coalesce(1)).select("docs").collect()]
+    assert sum(segments) == docs.count() and max(segments) <= 3
+
+
+TASK = """
+import re, sys
+import numpy as np, pandas as pd
+from linkweave.llm import token_files
+class Context:
+    get = partitionId = lambda *_: 0
+Context.get = lambda *_: Context()
+token_files.TaskContext = Context
+def held():
+    return int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+r = np.random.default_rng(1)
+words = np.array(["".join(r.choice(list("abcdefghij"), 6)) for _ in range(20_000)])
+run = token_files._write("byte_bpe_50k.json", None, token_files.SEGMENT_IDS)
+token_files.encoder("byte_bpe_50k.json")
+before = held()
+def parts():
+    for _ in range(8):
+        yield pd.DataFrame({"doc_id": range(1000), "text": [" ".join(r.choice(words, 500)) for _ in range(1000)]})
+for out in run(parts()):
+    del out
+print(held() - before)
+"""
+
+
+def test_a_writing_task_gives_its_memory_back():
+    out = subprocess.run([sys.executable, "-c", TASK], capture_output=True, text=True, timeout=120)
+    assert float(out.stdout.split()[-1]) < 15, out.stderr
